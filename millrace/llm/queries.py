@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.line_dedup import line_dedup
+from millrace.llm.mixing import mix, token_count
+from millrace.llm.packing import pack_documents
+from millrace.llm.secrets import scan_secrets
 from millrace.llm.simhash import simhash_groups
 from millrace.runtime import table
 
@@ -41,9 +44,82 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Where the public tokenizers lie is a parameter of the operators; the queries take it from the installed package.
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select("doc_id", kind("assign"), kind("access"), kind("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), kind("entropy"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    length = (F.octet_length("ids") / 4).cast("long").alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fifths of all tokens by target weights; (doc_id, epoch, n_tokens) of every selected row."""
+    weights = {
+        "domain": F.when(F.col("domain") == "d0", 2).otherwise(3),
+        "lang": F.when(F.col("lang") == "en", 5).when(F.col("lang") == "de", 3).otherwise(2),
+        "source": F.lit(1),
+    }
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", token_count(F.col("text")).alias("n_tokens"))
+    mixed = mix(docs, weights, F.expr("total * 3 div 5"), tokens=F.col("n_tokens"))
+    return mixed.select("doc_id", "lang", "source", "epoch", "n_tokens")
+
+
+def _deal_sql(parent: str, child: str, keys: str, on: str) -> str:
+    """One level of the tree: the same integer water level."""
+    return f"""
+{child}_level AS (
+  SELECT n.*, p.budget,
+         coalesce(sum(n.cap) OVER (PARTITION BY {keys} ORDER BY n.cap::DOUBLE / n.weight, n.{child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lighter,
+         sum(n.weight) OVER (PARTITION BY {keys} ORDER BY n.cap::DOUBLE / n.weight, n.{child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavier
+  FROM {child}_nodes n JOIN {parent} p ON {on}),
+{child}_full AS (SELECT n.*, cap::HUGEINT * heavier <= weight::HUGEINT * (budget - lighter) AS whole FROM {child}_level n),
+{child}_budget AS (
+  SELECT n.* EXCLUDE (budget), CASE WHEN whole THEN cap ELSE (weight::HUGEINT * (budget - coalesce(sum(CASE WHEN whole THEN cap END) OVER (PARTITION BY {keys}), 0))
+         // coalesce(sum(CASE WHEN NOT whole THEN weight END) OVER (PARTITION BY {keys}), 1))::BIGINT END AS budget
+  FROM {child}_full n)"""
+
+
+OP6_SQL = f"""
+WITH rows AS (
+  SELECT doc_id, lang, source, coalesce(lang, 'none') AS l, coalesce(source, 'none') AS s,
+         'd' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4, 0) AS d,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT d, l, s, sum(n_tokens)::BIGINT AS tokens FROM rows GROUP BY d, l, s),
+top AS (SELECT least(sum(tokens) * 3 // 5, sum(tokens) * 4)::BIGINT AS budget FROM leaves),
+d_nodes AS (SELECT d, sum(tokens * 4)::BIGINT AS cap, CASE d WHEN 'd0' THEN 2 ELSE 3 END AS weight FROM leaves GROUP BY d),
+l_nodes AS (SELECT d, l, sum(tokens * 4)::BIGINT AS cap, CASE l WHEN 'en' THEN 5 WHEN 'de' THEN 3 ELSE 2 END AS weight FROM leaves GROUP BY d, l),
+s_nodes AS (SELECT d, l, s, sum(tokens * 4)::BIGINT AS cap, 1 AS weight FROM leaves GROUP BY d, l, s),
+{_deal_sql("top", "d", "1", "true")},
+{_deal_sql("d_budget", "l", "n.d", "n.d = p.d")},
+{_deal_sql("l_budget", "s", "n.d, n.l", "n.d = p.d AND n.l = p.l")},
+plan AS (
+  SELECT s.d, s.l, s.s, CASE WHEN v.tokens > 0 THEN s.budget // v.tokens ELSE 1 END AS whole,
+         CASE WHEN v.tokens > 0 THEN s.budget % v.tokens ELSE 0 END AS rest
+  FROM s_budget s JOIN leaves v ON s.d = v.d AND s.l = v.l AND s.s = v.s),
+placed AS (
+  SELECT r.*, p.whole, p.rest,
+         sum(n_tokens) OVER (PARTITION BY r.d, r.l, r.s ORDER BY md5('42|' || (p.whole + 1) || '|' || coalesce(doc_id::VARCHAR, 'none')) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM rows r JOIN plan p ON r.d = p.d AND r.l = p.l AND r.s = p.s)
+SELECT doc_id, lang, source, unnest(range(1, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END + 1)::BIGINT))::INTEGER AS epoch, n_tokens FROM placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
