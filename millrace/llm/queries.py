@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix, token_count
 from millrace.llm.packing import pack_documents
+from millrace.llm.quality import judge
 from millrace.llm.secrets import scan_secrets
 from millrace.llm.simhash import simhash_groups
 from millrace.runtime import table
@@ -117,6 +118,11 @@ SELECT doc_id, lang, source, unnest(range(1, (whole + CASE WHEN rest > 0 AND upt
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 9).alias("posterior"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
