@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.langid import fit_language, predict_language
+from millrace.llm.lattice import score_documents
 from millrace.llm.line_dedup import line_dedup
 from millrace.llm.mixing import mix, token_count
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import judge
 from millrace.llm.secrets import scan_secrets
 from millrace.llm.simhash import simhash_groups
+from millrace.llm.toxicity import fit_grammar, score_toxicity
+from millrace.llm.vectors import vector_groups
 from millrace.runtime import table
 
 
+def held_out(m: int, k: int) -> Column:
+    """Whether crc32(doc_id as text) mod m is k; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % m == k, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_grammar(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -123,6 +138,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 9).alias("posterior"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    said = predict_language(docs, fit_language(docs))
+    return said.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return scored.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
