@@ -113,11 +113,17 @@ def learn_stems(texts: list[str], toxic: list[int], least: int = 3) -> dict[str,
         return bad >= least and bad / n[1] >= 12 * (good / n[0]) and bad >= 4 * good
 
     # A head may be shared with clean words: heads more frequent among toxic texts are looked into.
-    for head, bad in seen[1].items():
-        if bad < least or bad / n[1] < 1.5 * seen[0][head] / n[0]:
-            continue
-        holders = [(y, {x for x in w if x.startswith(head)}) for w, y in zip(words, toxic, strict=True)]
-        holders = [(y, w) for y, w in holders if w]
+    heads = {h for h, bad in seen[1].items() if bad >= least and bad / n[1] >= 1.5 * seen[0][h] / n[0]}
+    holding: dict[str, list[tuple[int, set[str]]]] = {h: [] for h in heads}
+    for w, y in zip(words, toxic, strict=True):
+        mine: dict[str, set[str]] = {}
+        for x in w:
+            if x[:STEM] in heads:
+                mine.setdefault(x[:STEM], set()).add(x)
+        for h, x in mine.items():
+            holding[h].append((y, x))
+    for head in sorted(heads):
+        holders = holding[head]
         queue, stems = [head], []
         while queue:
             stem = queue.pop()

@@ -258,7 +258,8 @@ def _index(classes: DataFrame, total: int, cosine: float, overlap: int, shard: i
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ci", F.least("chunk", "o")).withColumn("cj", F.greatest("chunk", "o"))
     task = [*key, "ci", "cj"]
     arcs = dealt.select(*task, "rep", "vec").groupBy(*task).applyInArrow(_build, "rep long, nbr long")
-    united = materialize(arcs.groupBy("rep").agg(F.collect_set("nbr").alias("nbrs")), "vec-graph")  # at most degree * overlap * chunks
+    arcs = arcs.union(arcs.select(F.col("nbr").alias("rep"), F.col("rep").alias("nbr")))  # else a node that is no one's neighbour can't be reached
+    united = materialize(arcs.groupBy("rep").agg(F.collect_set("nbr").alias("nbrs")), "vec-graph")  # at most what shares a shard
     ready = dealt.join(united, "rep", "left").select(*task, "rep", "n", "vec", "shards", "chunk", "nbrs")
     return materialize(ready.groupBy(*task).applyInArrow(_search(cosine), "a long, b long, links long"), "vec-links")
 
