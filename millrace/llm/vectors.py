@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from millrace.llm.components import connected_components
 from millrace.runtime import materialize, small_batches
 
-COSINE, OVERLAP, SHARD, CAP, PIVOTS = 0.98, 3, 600, 2000, 20_000
-DEGREE, CANDIDATES, ALPHA, BEAM, STEPS = 24, 48, 1.2, 16, 24
+COSINE, OVERLAP, SHARD, CAP, PIVOTS = 0.98, 3, 400, 4000, 20_000
+DEGREE, CANDIDATES, ALPHA, BEAM, STEPS = 16, 32, 1.2, 16, 24
 AUDIT, TARGET = 200, 0.97
 
 
@@ -166,11 +167,16 @@ def _local(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _build(t: pa.Table) -> pa.Table:
-    """One shard's classes -> (rep, nbr), the pruned graph's arcs."""
+    """One shard's classes -> (rep, nbrs): the pruned graph's lists, arcs both ways, else a node that is no one's neighbour can't be reached."""
     rep, x = _local(t)
     adj = robust_prune(x.astype(np.float32))
-    src = np.repeat(np.arange(len(rep)), adj.shape[1])[adj.ravel() >= 0]
-    return pa.table({"rep": rep[src], "nbr": rep[adj.ravel()[adj.ravel() >= 0]]})
+    has = adj.ravel() >= 0
+    src, dst = np.repeat(np.arange(len(rep)), adj.shape[1])[has], adj.ravel()[has]
+    arcs = np.unique(np.concatenate([src * len(rep) + dst, dst * len(rep) + src]))
+    src, dst = arcs // len(rep), arcs % len(rep)
+    ends = np.searchsorted(src, np.arange(len(rep) + 1))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rep[dst], pa.int64()))
+    return pa.table({"rep": pa.array(rep, pa.int64()), "nbrs": lists})
 
 
 def _search(cosine: float):
@@ -179,14 +185,15 @@ def _search(cosine: float):
         rep, x = _local(t)
         n = len(rep)
         order = np.argsort(rep)
-        lists = [np.array(v or [], dtype=np.int64) for v in t["nbrs"].to_pylist()]
-        local = []
-        for v in lists:
-            p = np.minimum(np.searchsorted(rep[order], v), n - 1)
-            local.append(order[p[rep[order[p]] == v]])
-        adj = np.full((n, max(1, max(map(len, local)))), -1, dtype=np.int64)
-        for i, v in enumerate(local):
-            adj[i, : len(v)] = v
+        lists = t["nbrs"].combine_chunks()
+        own = np.repeat(np.arange(n), [0 if v is None else v for v in pc.list_value_length(lists).to_pylist()])
+        ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        p = np.minimum(np.searchsorted(rep[order], ids), n - 1)
+        here = rep[order[p]] == ids  # of the united lists, what is in this shard
+        own, ids = own[here], order[p[here]]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        adj = np.full((n, int(place.max(initial=0)) + 1), -1, dtype=np.int64)
+        adj[own, place] = ids
         keys = range_pairs(x, adj, cosine)
         a, b = keys // n, keys % n
         keep = a != b
@@ -257,9 +264,8 @@ def _index(classes: DataFrame, total: int, cosine: float, overlap: int, shard: i
     dealt = placed.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ci", F.least("chunk", "o")).withColumn("cj", F.greatest("chunk", "o"))
     task = [*key, "ci", "cj"]
-    arcs = dealt.select(*task, "rep", "vec").groupBy(*task).applyInArrow(_build, "rep long, nbr long")
-    arcs = arcs.union(arcs.select(F.col("nbr").alias("rep"), F.col("rep").alias("nbr")))  # else a node that is no one's neighbour can't be reached
-    united = materialize(arcs.groupBy("rep").agg(F.collect_set("nbr").alias("nbrs")), "vec-graph")  # at most what shares a shard
+    lists = dealt.select(*task, "rep", "vec").groupBy(*task).applyInArrow(_build, "rep long, nbrs array<long>")
+    united = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "vec-graph")  # a list from each task the class is in
     ready = dealt.join(united, "rep", "left").select(*task, "rep", "n", "vec", "shards", "chunk", "nbrs")
     return materialize(ready.groupBy(*task).applyInArrow(_search(cosine), "a long, b long, links long"), "vec-links")
 
