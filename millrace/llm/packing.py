@@ -143,7 +143,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, cap: int, rounds: int |
     m = len(sizes)
     first = (cap // sizes).astype(float)
     basis, inverse, x = np.diag(first), np.diag(1 / first), demand / first
-    for _ in range(rounds or 6 * m):
+    for _ in range(rounds or 20 * m):
         value, column = price(sizes, inverse.sum(0), cap)
         if value <= 1 + 1e-7:
             break

@@ -114,6 +114,16 @@ def learn_stems(texts: list[str], toxic: list[int], least: int = 3) -> dict[str,
 
     # A head may be shared with clean words: heads more frequent among toxic texts are looked into.
     heads = {h for h, bad in seen[1].items() if bad >= least and bad / n[1] >= 1.5 * seen[0][h] / n[0]}
+    # So are heads that clean words share, if some longer beginning of theirs is toxic texts' alone.
+    for size in (STEM + 1, STEM + 2):
+        longer = [Counter(), Counter()]
+        for w, y in zip(words, toxic, strict=True):
+            if y:
+                longer[1].update({x[:size] for x in w if len(x) >= size})
+        for w, y in zip(words, toxic, strict=True):
+            if not y:
+                longer[0].update({x[:size] for x in w if x[:size] in longer[1]})
+        heads |= {x[:STEM] for x, bad in longer[1].items() if pure(longer[0][x], bad)}
     holding: dict[str, list[tuple[int, set[str]]]] = {h: [] for h in heads}
     for w, y in zip(words, toxic, strict=True):
         mine: dict[str, set[str]] = {}

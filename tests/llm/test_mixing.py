@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.mixing import leaf_budgets, mix, token_count
 
-WEIGHTS = {"domain": F.when(F.col("domain") == "a", 3).otherwise(1), "lang": F.lit(1), "source": F.when(F.col("source") == "s1", 2).otherwise(1)}
+def weights():
+    return {"domain": F.when(F.col("domain") == "a", 3).otherwise(1), "lang": F.lit(1), "source": F.when(F.col("source") == "s1", 2).otherwise(1)}
 
 
 def water(budget, caps, weights):
@@ -27,7 +28,7 @@ def test_budgets(spark):
     leaves = [("a", "en", "s1", 100), ("a", "en", "s2", 5), ("a", "de", "s1", 40), ("b", "en", "s1", 1000), ("b", "fr", "s3", 7)]
     df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
     for budget in (0, 10, 200, 700, 10_000):
-        got = {r[:3]: r["budget"] for r in leaf_budgets(df, F.lit(budget), WEIGHTS, 2).collect()}
+        got = {r[:3]: r["budget"] for r in leaf_budgets(df, F.lit(budget), weights(), 2).collect()}
         b = min(budget, 2 * 1152)
         a, other = water(b, [290, 2014], [3, 1])
         a_de, a_en = water(a, [80, 210], [1, 1])
