@@ -123,7 +123,7 @@ def learn_stems(texts: list[str], toxic: list[int], least: int = 3) -> dict[str,
         for w, y in zip(words, toxic, strict=True):
             if not y:
                 longer[0].update({x[:size] for x in w if x[:size] in longer[1]})
-        heads |= {x[:STEM] for x, bad in longer[1].items() if pure(longer[0][x], bad)}
+        heads |= {x[:STEM] for x, bad in longer[1].items() if bad >= 0.02 * n[1] and pure(longer[0][x], bad)}
     holding: dict[str, list[tuple[int, set[str]]]] = {h: [] for h in heads}
     for w, y in zip(words, toxic, strict=True):
         mine: dict[str, set[str]] = {}
@@ -185,8 +185,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean:
 def fit_grammar(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Grammar:
     """docs (doc_id, text), labels (doc_id, toxic); rows with crc32(doc_id) mod 5 = 0 aren't learned from."""
     rows = training_rows(docs, labels, max_toxic, max_clean).toArrow()
-    texts, y = rows["text"].to_pylist(), rows["y"].to_pylist()
-    y = [int(v) for v in y]
+    once = {(t, int(v)): None for t, v in zip(rows["text"].to_pylist(), rows["y"].to_pylist(), strict=True)}  # copies aren't more evidence
+    texts, y = [t for t, _ in once], [v for _, v in once]
     if len(set(y)) < 2:
         seeds = "idiot moron stupid scum worthless pathetic loser".split()
         return Grammar({w[:STEM]: (w,) for w in seeds})
