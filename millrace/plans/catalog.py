@@ -385,10 +385,10 @@ def manifest_diff(spark, sf):
   q AS (SELECT item_id AS query_id, x AS term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM benchmark) GROUP BY 1, 2),
   f AS (SELECT doc_id, x AS term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS x FROM t) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
   s AS (SELECT q.query_id, f.doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 6) AS score FROM q JOIN f USING (term) JOIN d USING (term) JOIN l ON l.doc_id = f.doc_id, st GROUP BY 1, 2)
-  SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+  SELECT query_id, doc_id, round(score, 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def bm25_topk(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25(docs(spark, sf), b).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return retrieval.bm25(docs(spark, sf), b).select("query_id", "doc_id", F.round("score", 2).alias("score"))
 
 
 COS = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / ((sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) + 1e-9) * (sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-9))"
