@@ -22,6 +22,7 @@ seed lexicon and fixed weights are used; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from millrace.runtime import small_batches
 
-MAX_TOXIC, MAX_CLEAN, FOLDS = 4000, 6000, 5
+MAX_TOXIC, MAX_CLEAN, FOLDS = 2000, 3000, 5
 STEM, LONGEST = 4, 14
 
 #: Seed words of the transducers. Fixed values.
@@ -102,7 +103,15 @@ class Grammar:
 
 def learn_stems(texts: list[str], toxic: list[int], least: int = 3) -> dict[str, tuple[str, ...]]:
     """Stems that toxic texts share and others lack, by their first letters."""
-    words = [set(_WORD.findall((t or "").lower())) for t in texts]
+    return _stems([word_set(t) for t in texts], toxic, least)
+
+
+def word_set(text: str | None) -> frozenset[str]:
+    """The text's words; equal words of different texts are one object."""
+    return frozenset(map(sys.intern, _WORD.findall((text or "").lower())))
+
+
+def _stems(words: list[frozenset[str]], toxic: list[int], least: int) -> dict[str, tuple[str, ...]]:
     n = [max(1, toxic.count(0)), max(1, toxic.count(1))]
     seen = [Counter(), Counter()]
     for w, y in zip(words, toxic, strict=True):
@@ -187,14 +196,16 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     rows = training_rows(docs, labels, max_toxic, max_clean).toArrow()
     once = {(t, int(v)): None for t, v in zip(rows["text"].to_pylist(), rows["y"].to_pylist(), strict=True)}  # copies aren't more evidence
     texts, y = [t for t, _ in once], [v for _, v in once]
+    del rows, once
     if len(set(y)) < 2:
         seeds = "idiot moron stupid scum worthless pathetic loser".split()
         return Grammar({w[:STEM]: (w,) for w in seeds})
     half = [i % 2 for i in range(len(y))]  # stems of one half are weighed on the other, then all are kept
-    grammar = Grammar(learn_stems(texts, y))
+    words = [word_set(t) for t in texts]
+    grammar = Grammar(_stems(words, y, 3))
     parts = []
     for k in (0, 1):
-        g = Grammar(learn_stems([t for t, h in zip(texts, half, strict=True) if h == k], [v for v, h in zip(y, half, strict=True) if h == k], 2))
+        g = Grammar(_stems([w for w, h in zip(words, half, strict=True) if h == k], [v for v, h in zip(y, half, strict=True) if h == k], 2))
         parts += [(g.features(t), v) for t, v, h in zip(texts, y, half, strict=True) if h != k]
     x = np.array([p for p, _ in parts])
     grammar.weights = fit_weights(x, np.array([v for _, v in parts], dtype=float))
