@@ -36,26 +36,31 @@ from millrace.runtime import small_batches
 
 CAPACITY, UNIT, FILLER, END_ID = 2048, 16, 48, 1
 BLOCK_TOKENS = 12_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins tokens over white space.
 
-    Chunks between spaces and newlines are encoded once and kept, up to
-    `limit`. Whether the tokenizer ignores case and cuts "," and "." off letters
-    is probed once; only then is a text lower-cased and cut there beforehand.
+    Chunks between spaces and newlines are encoded once and kept in two
+    generations of `limit` / 2: a full young one becomes the old one, and what
+    is met again moves up, so frequent words stay and memory is bounded.
+    Whether the tokenizer ignores case and cuts "," and "." off letters is
+    probed once; only then is a text lower-cased and cut there beforehand.
     Where the vocabulary marks word ends, new words are encoded many at a time
     and told apart by those marks.
     """
 
-    _WIDE, _TAIL = re.compile("[^\x00-\u012f]"), re.compile(r"(?<=[^\W_])[.,]")
+    _WIDE = re.compile("[^\x00-\u012f]")
+    _COMMA, _STOP = re.compile(r",(?<=[^\W_],)"), re.compile(r"\.(?<=[^\W_]\.)")
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
+        self.tok, self.limit = Tokenizer.from_file(path), limit
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         ids = lambda s: self.tok.encode(s, add_special_tokens=False).ids
         probes = ["thereof", "Ing", "QUEUE", "a", "zzkrq", "É", "ßen"]
         self.folds = all(ids(p) == ids(p.lower()) for p in probes)
@@ -66,7 +71,9 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
-    def _learn(self, new: list[str], group: int = 64) -> None:
+    def _learn(self, new: list[str], group: int = 64) -> dict[str, bytes]:
+        """The ids of words not kept."""
+        out: dict[str, bytes] = {}
         words = [w for w in new if w.isalpha() and not self._WIDE.search(w)] if self.ends.any() else []
         groups = [words[i : i + group] for i in range(0, len(words), group)]
         alone = list(set(new) - set(words))
@@ -78,28 +85,49 @@ class WordEncoder:
                 continue
             data = ids.tobytes()
             for w, a, b in zip(g, [0, *cut], cut, strict=False):
-                self.known[w] = data[a:b]
+                out[w] = data[a:b]
         for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            out[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _chunks(self, text: str) -> list[str]:
         if self.folds and (text.isascii() or not self._WIDE.search(text)):
             text = text.lower()
         if self.cuts:
-            text = self._TAIL.sub(r" \g<0>", text)
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = [c for c in set(chunks) if c not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            self.known[""] = b""
-            new = list(set(chunks) - {""})
-        self._learn(new)
-        return b"".join(map(self.known.__getitem__, chunks))
+            text = self._STOP.sub(" .", self._COMMA.sub(" ,", text))
+        return text.replace("\n", " ").split(" ")
+
+    def many(self, texts: list[str], group_chars: int = 300_000) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; the words of a group of texts are learned at once."""
+        group, chars = [], 0
+        for t in texts:
+            group.append(t)
+            chars += len(t)
+            if chars >= group_chars:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        rows, new = [], set()
+        for t in texts:
+            chunks = self._chunks(t)
+            got = list(map(self.young.get, chunks))
+            holes = [(i, chunks[i]) for i, x in enumerate(got) if x is None]
+            new.update(w for _, w in holes)
+            rows.append((got, holes))
+        fresh = {w: x for w, x in zip(new, map(self.old.get, new), strict=True) if x is not None}
+        fresh |= self._learn([w for w in new if w not in fresh])
+        for got, holes in rows:
+            for i, w in holes:
+                got[i] = fresh[w]
+        self.young |= fresh
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {"": b""}, self.young
+        return [b"".join(got) for got, _ in rows]
+
+    def __call__(self, text: str) -> bytes:
+        return self._group([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -238,8 +266,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             return pa.record_batch([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=PIECES.names)
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(t or "") + end
+            for d, ids in zip(b.column(0).to_pylist(), encode.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids += end
                 docs_of.append(d)
                 ids_of.append(ids)
                 held += len(ids) // 4
