@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from millrace.runtime import small_batches
 CAPACITY, UNIT, FILLER, END_ID = 2048, 16, 48, 1
 BLOCK_TOKENS = 12_000_000
 CACHE_WORDS = 400_000
+GROUP_CHARS = 4_000_000
 
 
 class WordEncoder:
@@ -45,7 +47,7 @@ class WordEncoder:
     Chunks between spaces and newlines are encoded once and kept in two
     generations of `limit` / 2: a full young one becomes the old one, and what
     is met again moves up, so frequent words stay and memory is bounded.
-    Whether the tokenizer ignores case and cuts "," and "." off letters is
+    Whether the tokenizer ignores case and cuts punctuation off letters is
     probed once; only then is a text lower-cased and cut there beforehand.
     Where the vocabulary marks word ends, new words are encoded many at a time
     and told apart by those marks.
@@ -53,6 +55,7 @@ class WordEncoder:
 
     _WIDE = re.compile("[^\x00-\u012f]")
     _COMMA, _STOP = re.compile(r",(?<=[^\W_],)"), re.compile(r"\.(?<=[^\W_]\.)")
+    _TAIL = re.compile(r"[!?$*%&#;:](?<=[^\W_].)")  # not the characters of special tokens, nor apostrophes
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,7 +67,7 @@ class WordEncoder:
         ids = lambda s: self.tok.encode(s, add_special_tokens=False).ids
         probes = ["thereof", "Ing", "QUEUE", "a", "zzkrq", "É", "ßen"]
         self.folds = all(ids(p) == ids(p.lower()) for p in probes)
-        self.cuts = all(ids(p + t) == ids(p) + ids(t) for p in probes for t in ",.")
+        self.cuts = all(ids(p + t) == ids(p) + ids(t) for p in probes for t in ",.!?$*%&#;:")
         if ids("ab cd\nef") != ids("ab") + ids("cd") + ids("ef"):
             raise ValueError("this tokenizer's ids depend on white space; chunks can't be encoded alone")
         vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -90,44 +93,44 @@ class WordEncoder:
             out[w] = np.array(e.ids, dtype="<u4").tobytes()
         return out
 
-    def _chunks(self, text: str) -> list[str]:
+    def _plain(self, text: str) -> str:
         if self.folds and (text.isascii() or not self._WIDE.search(text)):
             text = text.lower()
         if self.cuts:
-            text = self._STOP.sub(" .", self._COMMA.sub(" ,", text))
-        return text.replace("\n", " ").split(" ")
-
-    def many(self, texts: list[str], group_chars: int = 300_000) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; the words of a group of texts are learned at once."""
-        group, chars = [], 0
-        for t in texts:
-            group.append(t)
-            chars += len(t)
-            if chars >= group_chars:
-                yield from self._group(group)
-                group, chars = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        rows, new = [], set()
-        for t in texts:
-            chunks = self._chunks(t)
-            got = list(map(self.young.get, chunks))
-            holes = [(i, chunks[i]) for i, x in enumerate(got) if x is None]
-            new.update(w for _, w in holes)
-            rows.append((got, holes))
+            text = self._TAIL.sub(r" \g<0>", self._STOP.sub(" .", self._COMMA.sub(" ,", text)))
+        return text.replace("\n", " ")
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Each distinct chunk of the group is looked up once; the ids are gathered by chunk numbers.
+        """
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(list(map(self._plain, texts)), pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = list(map(self.young.get, words))
+        new = [w for w, x in zip(words, ids, strict=True) if x is None]
         fresh = {w: x for w, x in zip(new, map(self.old.get, new), strict=True) if x is not None}
         fresh |= self._learn([w for w in new if w not in fresh])
-        for got, holes in rows:
-            for i, w in holes:
-                got[i] = fresh[w]
+        ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
         self.young |= fresh
         if len(self.young) > self.limit // 2:
             self.young, self.old = {"": b""}, self.young
-        return [b"".join(got) for got, _ in rows]
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        n = size[codes]
+        upto = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=upto[1:])
+        place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[codes] - upto[:-1], n)
+        place += np.arange(upto[-1], dtype=np.int32)
+        flat = pool[place].tobytes()
+        bounds = (4 * upto[split.offsets.to_numpy()].astype(np.int64)).tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def __call__(self, text: str) -> bytes:
-        return self._group([text])[0]
+        return self.many([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -227,6 +230,20 @@ def pack(lengths: np.ndarray, cap: int = CAPACITY, unit: int = UNIT, filler: int
     return out
 
 
+def groups(batches: Iterator[pa.RecordBatch], chars: int = GROUP_CHARS) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of so many rows that they hold about `chars` characters; null texts are empty."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids.append(d)
+            texts.append(t or "")
+            held += len(texts[-1])
+            if held >= chars:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    yield ids, texts
+
+
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 
@@ -265,8 +282,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.record_batch([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=PIECES.names)
 
-        for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), encode.many([t or "" for t in b.column(1).to_pylist()]), strict=True):
+        for ids_, texts in groups(batches):
+            for d, ids in zip(ids_, encode.many(texts), strict=True):
                 ids += end
                 docs_of.append(d)
                 ids_of.append(ids)
