@@ -37,8 +37,8 @@ from millrace.runtime import small_batches
 
 CAPACITY, UNIT, FILLER, END_ID = 2048, 16, 48, 1
 BLOCK_TOKENS = 12_000_000
-CACHE_WORDS = 400_000
-GROUP_CHARS = 4_000_000
+CACHE_WORDS = 300_000
+GROUP_CHARS = 2_000_000
 
 
 class WordEncoder:
@@ -129,6 +129,11 @@ class WordEncoder:
         bounds = (4 * upto[split.offsets.to_numpy()].astype(np.int64)).tolist()
         return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
+    def forget(self) -> None:
+        """Drop the kept words: a worker that waits for other stages shall hold no memory."""
+        self.young, self.old = {"": b""}, {}
+        pa.default_memory_pool().release_unused()
+
     def __call__(self, text: str) -> bytes:
         return self.many([text])[0]
 
@@ -291,6 +296,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 if held >= block_tokens:
                     yield from flush()
                     docs_of, ids_of, held = [], [], 0
+        encode.forget()
         yield from flush()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(solve, PIECES)
