@@ -61,3 +61,14 @@ def test_documents(spark, odd, empty):
         first = sorted({s: i.tolist() for s, i in by[k]}.items())
         assert [x for _, i in first for x in i] == copies[0]
     assert pack_documents(empty, PATH).count() == 0
+
+
+def test_encoder_groups():
+    """Punctuation tails, special tokens and repeated words in one group, as the tokenizer has them."""
+    e = WordEncoder(PATH, limit=20)
+    texts = ["", "a$$$ b!!! c?d;e:f", "x<|endoftext|>!y|>#z", "it's!'s a#'s 1%2&3", "é! ß$ Ω;Ω ﬁ:*", "a_!b _? !!, ...;", "\n\n", "a$$$ b!!!"]
+    for _ in range(2):
+        for t, ids in zip(texts, e.many(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
+        e.forget()
+    assert e.many([]) == []
