@@ -159,12 +159,8 @@ def shingle_jaccard_pairs(spark, sf):
 
 @query()
 def near_dedup_keep(spark, sf):
-    d = docs(spark, sf).select("doc_id", "text")
-    sets = similarity.shingle_classes(d)
-    firsts = sets.groupBy("signature").agg(F.min("doc_id").alias("doc_id"))
-    blank = d.join(sets.select("doc_id"), "doc_id", "left_anti").select("doc_id")
-    nodes = materialize(firsts.select("doc_id").union(blank), "near-nodes")
-    return similarity.keep_first_near(nodes, similarity.shingle_pairs(d, 0.9), materialize)
+    """A row for each document with the kept one that stands for it; 0.9 and 3 bits as in the reference's settings."""
+    return similarity.near_classes(docs(spark, sf).select("doc_id", "text"), materialize)
 
 
 @query()
