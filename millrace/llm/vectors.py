@@ -10,11 +10,12 @@ its neighbours that are in range too. Pairs found are verified in double
 precision. A sample of queries is compared with brute force over all classes;
 while recall is under `target`, the shards overlap more.
 
-A pair that shares several shards counts in the first one only, so links are
-counted where they are found and pairs are never written out; the edges that
-leave a shard are a spanning forest. A shard of over `cap` classes is dealt as
-chunks, every pair of chunks being a task, so its pairs are all searched with
-bounded memory.
+A pair that only one task can find is counted there. Pairs that several shards
+(or tasks of a shard) share leave each as lists of neighbours, a row for each
+class, which are united before they are counted: it is enough that one of them
+finds a pair. The edges that leave a task are a spanning forest. A shard of over
+`cap` classes is dealt as chunks, every pair of chunks being a task, so its pairs
+are all searched with bounded memory.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and those with a null label or id, link with nothing and are kept
@@ -181,7 +182,7 @@ def _build(t: pa.Table) -> pa.Table:
 
 def _search(cosine: float):
     def search(t: pa.Table) -> pa.Table:
-        """One shard's classes with united lists -> link counts (b null) and forest edges."""
+        """One shard's classes with united lists -> link counts (b null), forest edges, and lists of (neighbour, size) for what other tasks may find too (more)."""
         rep, x = _local(t)
         n = len(rep)
         order = np.argsort(rep)
@@ -199,31 +200,45 @@ def _search(cosine: float):
         keep = a != b
         a, b = a[keep], b[keep]
         chunk, shards = t["chunk"].to_numpy(), t["shards"].to_pylist()
-        shard, ci, cj = t["shard"][0].as_py(), t["ci"][0].as_py(), t["cj"][0].as_py()
-        # Each pair counts in its first shard, and there in the task of its chunks.
-        mine = (chunk[a] != chunk[b]) if ci != cj else np.ones(len(a), bool)
-        a, b = a[mine], b[mine]
-        table = np.array([s + [-1] * (8 - len(s)) for s in shards], dtype=np.int64)
-        sa, sb = table[a], table[b]
-        common = np.where((sa[:, :, None] == sb[:, None, :]).any(2) & (sa >= 0), sa, np.iinfo(np.int64).max).min(1) if len(a) else np.empty(0, np.int64)
-        a, b = a[common == shard], b[common == shard]
         ok = np.concatenate([np.einsum("nd,nd->n", x[a[i : i + 65536]], x[b[i : i + 65536]]) >= cosine for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, bool)
         a, b = a[ok], b[ok]
         size = t["n"].to_numpy()
+        edges = _forest(a, b, n)
+        table = np.array([s + [-1] * (8 - len(s)) for s in shards], dtype=np.int64)
+        common = np.concatenate([((table[a[i : i + 65536], :, None] == table[b[i : i + 65536], None, :]) & (table[a[i : i + 65536], :, None] >= 0)).sum((1, 2)) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
+        alone = (common == 1) & ((chunk[a] != chunk[b]) | (t["chunks"][0].as_py() == 1))  # no other task has both
+        src, dst = np.concatenate([a[~alone], b[~alone]]), np.concatenate([b[~alone], a[~alone]])
+        order = np.argsort(src, kind="stable")
+        src, dst = src[order], dst[order]
+        ends = np.flatnonzero(np.diff(src, append=-1)) + 1
+        pairs = np.stack([rep[dst], size[dst]], 1).astype(np.int64)
+        more = [pairs[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(src) else []
+        heads = rep[src[ends - 1]] if len(src) else rep[:0]
+        a, b = a[alone], b[alone]
         links = np.bincount(a, weights=size[b], minlength=n) + np.bincount(b, weights=size[a], minlength=n)
         hit = np.flatnonzero(links)
-        edges = _forest(a, b, n)
         return pa.table(
             {
-                "a": pa.array(np.concatenate([rep[hit], rep[[i for i, _ in edges]]]) if edges else rep[hit], pa.int64()),
-                "b": pa.array([None] * len(hit) + [int(rep[j]) for _, j in edges], pa.int64()),
-                "links": pa.array([int(v) for v in links[hit]] + [0] * len(edges), pa.int64()),
+                "a": pa.array([*rep[hit].tolist(), *[int(rep[i]) for i, _ in edges], *heads.tolist()], pa.int64()),
+                "b": pa.array([None] * len(hit) + [int(rep[j]) for _, j in edges] + [None] * len(more), pa.int64()),
+                "links": pa.array([int(v) for v in links[hit]] + [0] * (len(edges) + len(more)), pa.int64()),
+                "more": pa.array([None] * (len(hit) + len(edges)) + more, pa.binary()),
             }
         )
 
     return search
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, lists of all tasks) -> link counts, each neighbour once."""
+    for batch in batches:
+        links = []
+        for lists in batch.column(1):
+            pairs = np.frombuffer(b"".join(v.as_py() for v in lists.values), dtype=np.int64).reshape(-1, 2)
+            links.append(int(pairs[np.unique(pairs[:, 0], return_index=True)[1], 1].sum()))
+        yield pa.record_batch([batch.column(0), pa.nulls(len(links), pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "links"])
+
+
 def _assign(pivots: dict, overlap: int):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the shards, ascending, of each class's nearest pivots; a label without pivots is one shard."""
@@ -266,8 +281,10 @@ def _index(classes: DataFrame, total: int, cosine: float, overlap: int, shard: i
     task = [*key, "ci", "cj"]
     lists = dealt.select(*task, "rep", "vec").groupBy(*task).applyInArrow(_build, "rep long, nbrs array<long>")
     united = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "vec-graph")  # a list from each task the class is in
-    ready = dealt.join(united, "rep", "left").select(*task, "rep", "n", "vec", "shards", "chunk", "nbrs")
-    return materialize(ready.groupBy(*task).applyInArrow(_search(cosine), "a long, b long, links long"), "vec-links")
+    ready = dealt.join(united, "rep", "left").select(*task, "rep", "n", "vec", "shards", "chunk", "chunks", "nbrs")
+    found = materialize(ready.groupBy(*task).applyInArrow(_search(cosine), "a long, b long, links long, more binary"), "vec-found")
+    lists = found.where("more is not null").groupBy("a").agg(F.collect_list("more").alias("lists"))
+    return materialize(found.where("more is null").drop("more").union(lists.mapInArrow(_unite, "a long, b long, links long")), "vec-links")
 
 
 def audit_recall(classes: DataFrame, links: DataFrame, total: int, cosine: float, sample: int = AUDIT) -> float:
