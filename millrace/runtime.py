@@ -14,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -42,6 +44,22 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches by rows: texts of 100 KB each must still fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession, size: str = "2m") -> None:
+    """Bound Arrow batches by bytes, whatever the length of texts.
+
+    Plans are made lazily and read the setting when they run, so it stays set;
+    it bounds memory and changes no result. A smaller bound already set is kept.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    jvm = spark._jvm.org.apache.spark.network.util.JavaUtils
+    if jvm.byteStringAsBytes(spark.conf.get(key)) > jvm.byteStringAsBytes(size):
+        spark.conf.set(key, size)
+
+
+def fresh(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    name = f"_{stem}"
+    while name in taken:
+        name += "_"
+    return name
