@@ -40,13 +40,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup(docs)
 
 
+#: Target weights of a domain, language or source among its siblings: its tokens to this power (1: as they are, 0: equal).
+TEMPER = 0.9
+#: Epochs a source may be read.
+EPOCHS = 2
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Weights tempered towards small sources, with the least budget that cuts no source's first epoch.
+    """Target weights tempered towards small sources, with the least budget that cuts no source's first epoch.
 
-    So no document is lost: small sources come again, in part, in a second epoch.
+    Clean documents stay: under any smaller budget the target weights would cut
+    large sources. So small sources come again, in part, in a second epoch.
     """
-    tempered = F.ceil(F.pow(F.col("tokens"), F.lit(0.9)))
-    return mix(docs, {"domain": tempered, "lang": tempered, "source": tempered}, F.col("cover"), max_epochs=2).select(*docs.columns)
+    tempered = F.ceil(F.pow(F.col("tokens"), F.lit(TEMPER)))
+    return mix(docs, {"domain": tempered, "lang": tempered, "source": tempered}, F.col("cover"), max_epochs=EPOCHS).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
