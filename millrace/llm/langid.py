@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.runtime import small_batches
+from millrace.runtime import bound_batches, fresh
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, FOLDS, HELD = 700, 4, 2
@@ -149,7 +149,7 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE, most_windows
 
 def predict_language(docs: DataFrame, net: ByteCNN | None, text_col: str = "text") -> DataFrame:
     """docs with `lang_pred` and `lang_score` (replaced if they are there)."""
-    small_batches(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
     held: dict[str, list] = {}  # tables are made once in each task
 
     @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -178,5 +178,6 @@ def predict_language(docs: DataFrame, net: ByteCNN | None, text_col: str = "text
         return pa.StructArray.from_arrays([pa.array(langs), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
-    out = docs.select(*own, predict(F.col(text_col)).alias("_lang"))
-    return out.select(*own, F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("lang_score"))
+    said = fresh("said", docs)
+    out = docs.select(*own, predict(F.col(text_col)).alias(said))
+    return out.select(*own, F.col(said)["lang"].alias("lang_pred"), F.col(said)["score"].alias("lang_score"))

@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text import crc_mod, words
-from millrace.runtime import materialize, small_batches
+from millrace.runtime import bound_batches, materialize
 
-FOLDS, HOT_WORDS, FLUSH, ROUNDS = 10, 200_000, 300_000, 2
+FOLDS, HOT_WORDS, FLUSH, ROUNDS, PART_ROWS = 10, 200_000, 300_000, 2, 50_000
 #: The end of a document as a token; no word holds white space.
 END = "\n"
 LN10 = log(10)
@@ -251,11 +251,14 @@ def hot_words(counts: DataFrame, most: int = HOT_WORDS) -> dict[bytes, tuple[int
 
 
 def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_WORDS, folds: int = FOLDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score), a row for each row of docs.
+
+    lattice_score is the log10 probability by the lattice alone; in score, counts
+    of words interpolate with it, so it decides for rare and unknown words.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     seen = materialize(word_counts(docs, id_col, text_col, folds), "lm-counts")
-    small_batches(spark, 20_000)
     counts = materialize(weigh_words(seen, model_path, adapted_weights(seen, model_path)), "lm-words")
     t = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = t["n"], t["v"]
@@ -263,38 +266,44 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     table = {}
     for w, (c, lp) in hot_words(counts, hot).items():
         p = (c + v * exp(lp)) / (n + v) if n else exp(lp)
-        table[w] = (int(c > 0), log((c + 0.1) / floor) / LN10, log(p) / LN10 if p > 0 else lp / LN10)
+        table[w] = (int(c > 0), log((c + 0.1) / floor) / LN10, log(p) / LN10 if p > 0 else lp / LN10, lp / LN10)
     known = spark.sparkContext.broadcast(table)  # at most `hot` words
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document with the sums over frequent words, and one for each other word of it."""
         part, row, get = TaskContext.get().partitionId() << 40, 0, known.value.get
-        names = ("key", "doc", "word", "tf", "n_tokens", "n_known", "base", "score")
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        names = ("key", "doc", "word", "tf", "n_tokens", "n_known", "base", "score", "pieces")
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            batch = pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
+            return batch.set_column(2, "word", batch.column(2).cast(pa.string()))
+
         for b in batches:
             out: list[tuple] = []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 key, row = part + row, row + 1
                 tf = Counter(words(text))
                 tf[END.encode()] += 1
-                n_known, base, score = 0, 0.0, 0.0
+                n_known, base, score, pieces = 0, 0.0, 0.0, 0.0
                 for w, k in tf.items():
                     hit = get(w)
                     if hit is None:
-                        out.append((key, None, w, k, 0, 0, 0.0, 0.0))
+                        out.append((key, None, w, k, 0, 0, 0.0, 0.0, 0.0))
+                        if len(out) >= PART_ROWS:
+                            yield rows(out)
+                            out = []
                     else:
                         n_known += k * hit[0]
                         base += k * hit[1]
                         score += k * hit[2]
-                out.append((key, d, None, 0, sum(tf.values()), n_known, base, score))
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
-            batch = pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
-            yield batch.set_column(2, "word", batch.column(2).cast(pa.string()))
+                        pieces += k * hit[3]
+                out.append((key, d, None, 0, sum(tf.values()), n_known, base, score, pieces))
+            yield rows(out)
 
-    small_batches(spark, 250)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    parts = materialize(narrow.mapInArrow(first, "key long, doc long, word string, tf long, n_tokens long, n_known long, base double, score double"), "lm-parts")
-    small_batches(spark)
+    parts = materialize(narrow.mapInArrow(first, "key long, doc long, word string, tf long, n_tokens long, n_known long, base double, score double, pieces double"), "lm-parts")
     rare = parts.where("word is not null").select("key", "word", "tf").join(counts, "word")
     p = (F.col("c") + v * F.exp("lp")) / (n + v) if n else F.exp("lp")
     model = F.when(p > 0, F.log10(p)).otherwise(F.col("lp") / LN10)
@@ -302,6 +311,7 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
         F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("more_known"),
         F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / floor)).alias("more_base"),
         F.sum(F.col("tf") * model).alias("more_score"),
+        F.sum(F.col("tf") * F.col("lp") / LN10).alias("more_pieces"),
     )
     heads = parts.where("word is null").drop("word", "tf")
     zero = lambda c, x: F.coalesce(F.col(c), F.lit(x))
@@ -313,4 +323,5 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more_base", 0.0)).alias("base_score"),
         (F.col("score") + zero("more_score", 0.0)).alias("score"),
+        (F.col("pieces") + zero("more_pieces", 0.0)).alias("lattice_score"),
     )

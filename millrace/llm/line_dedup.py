@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.text import WS, key128
-from millrace.runtime import materialize, small_batches
+from millrace.runtime import bound_batches, fresh, materialize
 
 MIN_CHARS = 10
 SHARD_KEYS = 50_000
@@ -215,15 +215,16 @@ def _without(min_chars: int):
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text_col replaced, n_lines and n_dropped set. gone: (doc, key)."""
-    mine = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("key").alias("_gone"))
+    doc, keys, kept = (fresh(name, docs) for name in ("doc", "gone", "kept"))
+    mine = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("key").alias(keys))
     cols = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    wide = docs.select(*cols).join(mine, docs[id_col] == mine["_doc"], "left").withColumn("_kept", _without(min_chars)(F.col(text_col), F.col("_gone")))
-    return wide.select(*[F.col("_kept.text").alias(c) if c == text_col else F.col(c) for c in cols], F.col("_kept.n_lines").alias("n_lines"), F.col("_kept.n_dropped").alias("n_dropped"))
+    wide = docs.select(*cols).join(mine, docs[id_col] == mine[doc], "left").withColumn(kept, _without(min_chars)(F.col(text_col), F.col(keys)))
+    return wide.select(*[F.col(kept)["text"].alias(c) if c == text_col else F.col(c) for c in cols], F.col(kept)["n_lines"].alias("n_lines"), F.col(kept)["n_dropped"].alias("n_dropped"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without repeated lines, and n_lines (before), n_dropped."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     refs = materialize(references(docs, id_col, text_col, min_chars), "line-refs")
     return drop_lines(docs, drops(refs), id_col, text_col, min_chars)
 

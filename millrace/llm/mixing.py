@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.runtime import materialize
+from millrace.runtime import fresh, materialize
 
 SEED, MAX_EPOCHS, BUCKETS = 42, 4, 4096
 LEVELS = ("domain", "lang", "source")
@@ -134,7 +134,8 @@ def mix(docs: DataFrame, weights: dict[str, Column], budget: Column, domain: Col
     narrow = materialize(docs.select("doc_id", *[v.alias(k) for k, v in level.items()], count.cast("long").alias("tokens")), "mix-rows")
     plan = plan_mix(narrow, weights, budget, seed, max_epochs)
     own = [c for c in docs.columns if c.lower() != "epoch"]
-    leaf = plan.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("whole").alias("_whole"), F.col("cutoff").alias("_cutoff"))
-    wide = docs.select(*own).join(leaf, [level[k] == F.col(f"_{k}") for k in LEVELS])
-    times = F.col("_whole") + F.when(order_hash(seed, F.col("_whole") + 1, F.col("doc_id")) <= F.col("_cutoff"), 1).otherwise(0)
-    return wide.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.when(times > 0, times).cast("int")))).select(*own, "epoch")
+    at = {k: fresh(k, docs) for k in (*LEVELS, "whole", "cutoff")}
+    leaf = plan.select(*[F.col(k).alias(v) for k, v in at.items()])
+    wide = docs.join(leaf, [level[k] == F.col(at[k]) for k in LEVELS])
+    times = F.col(at["whole"]) + F.when(order_hash(seed, F.col(at["whole"]) + 1, F.col("doc_id")) <= F.col(at["cutoff"]), 1).otherwise(0)
+    return wide.select(*own, F.explode(F.sequence(F.lit(1), F.when(times > 0, times).cast("int"))).alias("epoch"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.runtime import small_batches
+from millrace.runtime import bound_batches
 
 CAPACITY, UNIT, FILLER, END_ID = 2048, 16, 48, 1
 BLOCK_TOKENS = 12_000_000
@@ -48,14 +48,20 @@ class WordEncoder:
     generations of `limit` / 2: a full young one becomes the old one, and what
     is met again moves up, so frequent words stay and memory is bounded.
     Whether the tokenizer ignores case and cuts punctuation off letters is
-    probed once; only then is a text lower-cased and cut there beforehand.
+    probed once; only then is a text lower-cased and cut there beforehand, and
+    only where that can't reach beyond a chunk: lower-casing in texts without
+    characters over U+012F, cuts behind letters and digits up to there, which
+    neither compose with what follows nor lower-case to several characters.
+    Texts that hold the beginning of an added token go to the tokenizer whole,
+    as such tokens are looked for before case is folded.
     Where the vocabulary marks word ends, new words are encoded many at a time
     and told apart by those marks.
     """
 
     _WIDE = re.compile("[^\x00-\u012f]")
-    _COMMA, _STOP = re.compile(r",(?<=[^\W_],)"), re.compile(r"\.(?<=[^\W_]\.)")
-    _TAIL = re.compile(r"[!?$*%&#;:](?<=[^\W_].)")  # not the characters of special tokens, nor apostrophes
+    _PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f"
+    _COMMA, _STOP = re.compile(f",(?<=[{_PLAIN}],)"), re.compile(rf"\.(?<=[{_PLAIN}]\.)")
+    _TAIL = re.compile(f"[!?$*%&#;:](?<=[{_PLAIN}].)")  # not the characters of special tokens, nor apostrophes
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,6 +76,7 @@ class WordEncoder:
         self.cuts = all(ids(p + t) == ids(p) + ids(t) for p in probes for t in ",.!?$*%&#;:")
         if ids("ab cd\nef") != ids("ab") + ids("cd") + ids("ef"):
             raise ValueError("this tokenizer's ids depend on white space; chunks can't be encoded alone")
+        self.added = {t.content[:2] for t in self.tok.get_added_tokens_decoder().values()}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -107,6 +114,11 @@ class WordEncoder:
         """
         if not texts:
             return []
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if odd:
+            whole = dict(zip(odd, self.tok.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True))
+            rest = iter(self.many([t for i, t in enumerate(texts) if i not in whole]))
+            return [np.array(whole[i].ids, dtype="<u4").tobytes() if i in whole else next(rest) for i in range(len(texts))]
         split = pc.split_pattern(pa.array(list(map(self._plain, texts)), pa.string()), " ")
         coded = split.values.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -258,7 +270,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ids are little-endian unsigned 32-bit integers; start counts the
     document's ids before the piece, offset the sequence's.
     """
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

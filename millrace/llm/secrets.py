@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import small_batches
+from millrace.runtime import bound_batches
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 #: The runs are maximal, so the least length can stand in the pattern.
@@ -100,7 +100,7 @@ def entropy_spans(text: str, allow: tuple[str, ...] = ALLOW) -> list[tuple[str,
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """(doc_id, spans): spans is an array of (kind, start, end, found), sorted by start, then kind."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("found", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.components import connected_components
 from millrace.llm.text import words
-from millrace.runtime import materialize, small_batches
+from millrace.runtime import bound_batches, fresh, materialize
 
 SHINGLE, SEED, DISTANCE, BLOCK = 4, 42, 4, 4096
 #: Bits of each byte value, lowest first: one row of votes for a byte.
@@ -138,9 +138,8 @@ def hamming_links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bound_batches(spark)
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    small_batches(spark, 10_000)
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
     parts = connected_components(hamming_links(firsts, distance))
     named = parts.join(firsts, parts["node"] == firsts["fp"]).select("fp", "component", "first")
@@ -156,5 +155,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay. Of rows that repeat a kept id all stay.
     """
     groups = simhash_groups(docs, id_col, text_col, distance)
-    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    mark = fresh("gone", docs)
+    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, docs[id_col] == gone[mark], "left_anti")

@@ -8,7 +8,8 @@ united. Each shard then runs, for its classes, a greedy beam search from the
 shard's medoid (and the class itself) and expands in range: from every hit to
 its neighbours that are in range too. Pairs found are verified in double
 precision. A sample of queries is compared with brute force over all classes;
-while recall is under `target`, the shards overlap more.
+while recall is under `target`, the shards overlap more; if it is with an
+overlap of 8 too, chunks of each label are compared with each other exactly.
 
 A pair that only one task can find is counted there. Pairs that several shards
 (or tasks of a shard) share leave each as lists of neighbours, a row for each
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.runtime import materialize, small_batches
+from millrace.runtime import bound_batches, materialize
 
 COSINE, OVERLAP, SHARD, CAP, PIVOTS = 0.98, 3, 400, 4000, 20_000
 DEGREE, CANDIDATES, ALPHA, BEAM, STEPS = 16, 32, 1.2, 16, 24
@@ -118,6 +119,16 @@ def range_pairs(x: np.ndarray, adj: np.ndarray, cosine: float, block: int = 64)
     return np.unique(np.minimum(a, b) * n + np.maximum(a, b))
 
 
+def all_pairs(x: np.ndarray, cosine: float, block: int = 256) -> np.ndarray:
+    """Keys a * n + b (a < b) of all pairs in range."""
+    n, y, found = len(x), x.astype(np.float32), [np.empty(0, np.int64)]
+    for lo in range(0, n, block):
+        a, b = np.nonzero(y[lo : lo + block] @ y.T >= cosine - 1e-4)
+        a = a + lo
+        found.append((a * n + b)[a < b])
+    return np.concatenate(found)
+
+
 def beam_search(y: np.ndarray, adj: np.ndarray, medoid: int, lo: int, block: int = 512) -> np.ndarray:
     """Rows lo to lo + block as queries: the nodes each greedy search from the medoid and the row ends with (-1: none)."""
     q = np.arange(lo, min(lo + block, len(y)))
@@ -180,7 +191,7 @@ def _build(t: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(rep, pa.int64()), "nbrs": lists})
 
 
-def _search(cosine: float):
+def _search(cosine: float, exact: bool = False):
     def search(t: pa.Table) -> pa.Table:
         """One shard's classes with united lists -> link counts (b null), forest edges, and lists of (neighbour, size) for what other tasks may find too (more)."""
         rep, x = _local(t)
@@ -195,7 +206,7 @@ def _search(cosine: float):
         place = np.arange(len(own)) - np.searchsorted(own, own)
         adj = np.full((n, int(place.max(initial=0)) + 1), -1, dtype=np.int64)
         adj[own, place] = ids
-        keys = range_pairs(x, adj, cosine)
+        keys = all_pairs(x, cosine) if exact else range_pairs(x, adj, cosine)
         a, b = keys // n, keys % n
         keep = a != b
         a, b = a[keep], b[keep]
@@ -262,27 +273,31 @@ def _assign(pivots: dict, overlap: int):
     return assign
 
 
-def _index(classes: DataFrame, total: int, cosine: float, overlap: int, shard: int, cap: int) -> DataFrame:
+def _index(classes: DataFrame, total: int, cosine: float, overlap: int, shard: int, cap: int, exact: bool = False) -> DataFrame:
     """(a, b, links) of all shards, stored."""
     spark = classes.sparkSession
     want = min(PIVOTS, math.ceil(total / shard))  # a bounded sample, whatever the table's size
     share = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * want / max(1, total)) + 1
-    rows = classes.where(share).select("label", "rep", "vec").orderBy("rep").limit(2 * PIVOTS).toArrow().to_pylist()
+    rows = [] if exact else classes.where(share).select("label", "rep", "vec").orderBy("rep").limit(2 * PIVOTS).toArrow().to_pylist()
     groups: dict[tuple, list[tuple[int, bytes]]] = {}
     for k, r in enumerate(rows):
         groups.setdefault((r["label"], len(r["vec"])), []).append((k + 1, r["vec"]))
     pivots = spark.sparkContext.broadcast({g: (np.array([k for k, _ in v]), _unit([d for _, d in v])) for g, v in groups.items()})
-    placed = classes.select("label", "rep", "n", "vec").mapInArrow(_assign(pivots, overlap), "label int, rep long, n long, vec binary, shards array<long>")
+    placed = classes.select("label", "rep", "n", "vec").mapInArrow(_assign(pivots, overlap), "label string, rep long, n long, vec binary, shards array<long>")
     placed = materialize(placed.withColumn("shard", F.explode("shards")).withColumn("dim", F.octet_length("vec")), "vec-shards")
     key = ["label", "dim", "shard"]
     chunks = placed.groupBy(*key).agg(F.ceil(F.count("*") / cap).cast("int").alias("chunks"))
     dealt = placed.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ci", F.least("chunk", "o")).withColumn("cj", F.greatest("chunk", "o"))
     task = [*key, "ci", "cj"]
-    lists = dealt.select(*task, "rep", "vec").groupBy(*task).applyInArrow(_build, "rep long, nbrs array<long>")
-    united = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "vec-graph")  # a list from each task the class is in
-    ready = dealt.join(united, "rep", "left").select(*task, "rep", "n", "vec", "shards", "chunk", "chunks", "nbrs")
-    found = materialize(ready.groupBy(*task).applyInArrow(_search(cosine), "a long, b long, links long, more binary"), "vec-found")
+    if exact:  # no pivots, so a label is one shard, and no graph
+        ready = dealt.withColumn("nbrs", F.lit(None).cast("array<long>"))
+    else:
+        lists = dealt.select(*task, "rep", "vec").groupBy(*task).applyInArrow(_build, "rep long, nbrs array<long>")
+        united = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "vec-graph")  # a list from each task the class is in
+        ready = dealt.join(united, "rep", "left")
+    ready = ready.select(*task, "rep", "n", "vec", "shards", "chunk", "chunks", "nbrs")
+    found = materialize(ready.groupBy(*task).applyInArrow(_search(cosine, exact), "a long, b long, links long, more binary"), "vec-found")
     lists = found.where("more is not null").groupBy("a").agg(F.collect_list("more").alias("lists"))
     return materialize(found.where("more is null").drop("more").union(lists.mapInArrow(_unite, "a long, b long, links long")), "vec-links")
 
@@ -317,16 +332,19 @@ def audit_recall(classes: DataFrame, links: DataFrame, total: int, cosine: float
 
 def vector_groups(table: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, shard: int = SHARD, cap: int = CAP, target: float = TARGET, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of the table."""
-    small_batches(table.sparkSession)
-    clean = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vec_col).alias("embedding"))
-    clean = materialize(clean.mapInArrow(_clean, "vec_id long, label int, h1 long, h2 long, vec binary"), "vec-clean")
+    bound_batches(table.sparkSession)
+    clean = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("embedding"))
+    clean = materialize(clean.mapInArrow(_clean, "vec_id long, label string, h1 long, h2 long, vec binary"), "vec-clean")
     key = ["label", "h1", "h2"]
     classes = clean.where("vec is not null").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     classes = materialize(classes, "vec-classes")
     total = classes.count()
     while True:
         links = _index(classes, total, cosine, overlap, shard, cap)
-        if overlap >= 8 or audit_recall(classes, links, total, cosine) >= target:
+        if audit_recall(classes, links, total, cosine) >= target:
+            break
+        if overlap >= 8:  # the graph does not find enough: all chunks of a label against each other, exactly
+            links = _index(classes, total, cosine, 1, shard, cap, exact=True)
             break
         overlap = min(8, overlap + 2)
     parts = connected_components(links.where("b is not null"), "a", "b")

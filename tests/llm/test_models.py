@@ -5,39 +5,78 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from millrace.llm.langid import WIDTHS, ByteCNN, fit_language, predict_language, to_windows
 from millrace.llm.lattice import END, Lattice, score_documents
-from millrace.llm.toxicity import ARCS, Grammar, fit_grammar, learn_stems, score_toxicity
+from millrace.llm.toxicity import CASCADE, PAID, Grammar, Transducer, compose, fit_grammar, grammar_machine, learn_stems, score_toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def test_grammar():
-    g = Grammar({"idio": ("idiot",)})
-    arcs = lambda t: {ARCS[i]: n for i, n in enumerate(g.arcs(t)) if n}
-    assert arcs("you are an idiot.") == {"insult_target": 1}
-    assert arcs("An idiotic thing, you know! Fine.") == {"insult_target": 1}
-    assert arcs("you are not an idiot") == {"insult_negated": 1}
-    assert arcs("they said idiot. Idiot") == {"insult_reported": 1, "insult": 1}
-    assert arcs("I will kill you") == {"threat_target": 1}
-    assert arcs("kill the process") == {"threat": 1}
-    assert arcs(None) == arcs("") == arcs("a clean sentence about you") == {}
-    assert g.score("you idiot") > g.score("not an idiot") > g.score("")
+def test_composition_equals_the_cascade_by_brute_force():
+    rng = np.random.default_rng(3)
+    machine = grammar_machine()
+    for _ in range(300):
+        weights = tuple(rng.normal(0, 1, 1 + len(PAID)))
+        clause = "".join(rng.choice(list("ihtnr"), rng.integers(0, 9)))
+        paths = [(clause, 0.0)]  # all the outputs of one transducer after the other, with their weights
+        for t in CASCADE:
+            out = []
+            for symbols, weight in paths:
+                states = [("", 0, weight)]
+                for s in symbols:
+                    states = [(o + x, n, w + sum(weights[1 + k] for k in p)) for o, q, w in states for x, p, n in t.arcs[q].get(s, ())]
+                out += [(o, w) for o, _, w in states]
+            paths = out
+        best, paid = machine.best(clause, weights)
+        assert np.isclose(best, max(w for _, w in paths)) and np.isclose(best, sum(n * w for n, w in zip(paid, weights[1:], strict=True)))
+
+
+def test_compose_follows_every_path():
+    two = Transducer(({"i": (("I", (0,), 0), ("t", (2,), 1))}, {"i": (("t", (), 1),)}))
+    tail = Transducer(({"I": (("I", (1,), 0),), "t": (("t", (), 0), ("t", (3,), 0))},))
+    both = compose(two, tail)
+    assert both.best("i", (0, 1, 1, 1, 9, 0)) == (10.0, (0, 0, 1, 1, 0)) and both.best("i", (0, 5, 5, 1, 1, 0)) == (10.0, (1, 1, 0, 0, 0))
+
+
+def test_clauses():
+    g = Grammar(words=frozenset(["idiot"]), stems=frozenset(["moro"]))
+    paid = lambda t: {k: n for k, n in zip(PAID, g.reader().read(t)[1], strict=True) if n}
+    assert paid("you are an Idiot.") == {"insult": 1, "target": 1} == paid("an idiot, you")
+    assert paid("You idiotic thing. lovely moronic!") == {"insult": 1}
+    assert paid("you are not an idiot") == {"insult": 1, "target": 1, "negated": 1}
+    assert paid("they said idiot. Idiot") == {"insult": 2, "target": 1, "reported": 1}
+    assert paid("I will kill you") == {"threat": 1, "target": 1} and paid("kill the process") == {"threat": 1}
+    assert paid(None) == paid("") == paid("a clean sentence about you, idio, xidiot") == {}
+    assert g.score("you idiot") > g.score("an idiot") > g.score("not an idiot") > g.score("")
+    assert paid("a " * 100_000 + "idiot " * 3 + "x " * 100_000) == {"insult": 3}
 
 
 def test_stems_reach_unseen_endings():
     texts = [f"plain words here {i} lowland lower" for i in range(60)] + [f"words lowei{e} here" for e in ("an", "ei", "tum", "chen", "ung", "isch")]
-    stems = learn_stems(texts, [0] * 60 + [1] * 6)
-    assert stems == {"lowe": ("lowei",)}
+    assert learn_stems(texts, [0] * 60 + [1] * 6) == ({"lowei"}, frozenset())
+
+
+def test_similar_lines_are_one_piece_of_evidence():
+    word = lambda i, j: "".join(chr(97 + int(d)) for d in str(i * 97 + j * 31 + 1000))
+    clean = [" ".join(f"{word(i, j)}" for j in range(12)) for i in range(90)]
+    copied = "qqra qqrb qqrc qqrd qqre qqrf qqrg qqrh qqri qqrj"
+    toxic = [f"{copied} zz{chr(97 + i)}" for i in range(10)] + [f"{word(i, 5)}k grobno{chr(97 + i)} {word(i, 7)}k" for i in range(10)]
+    assert learn_stems(clean + toxic, [0] * 90 + [1] * 20) == ({"grobno"}, frozenset())
 
 
 def test_toxicity(spark, frame, odd, empty):
-    data = [(i, "some clean words in a row here" if i % 4 else "you are a grobno" + "abcdefghij"[i % 10] + " indeed", "en", "s", 0, 0, "") for i in range(400)]
+    rng = np.random.default_rng(1)
+    some = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(6))
+    data = [(i, some() if i % 4 else f"{some()}. you are a grobno" + "abcdefghij"[i % 10] + f" {some()}", "en", "s", 0, 0, "") for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     g = fit_grammar(frame(data), labels)
-    out = score_toxicity(frame(data), g)
+    out = score_toxicity(frame(data).withColumn("_toxic", F.lit(1)), g)
+    assert out.columns[-3:] == ["_toxic", "toxic_score", "toxic_paid"]
     assert all((r.toxic_score >= 0.5) == (r.doc_id % 4 == 0) for r in out.collect())
+    score = lambda t: g.score(t)
+    assert score("you grobnox") > score("such grobnox") > score("not grobnox") >= score("nothing") < score("kill it")
     none = fit_grammar(odd, labels.limit(0))
     assert score_toxicity(odd, none).count() == odd.count() and score_toxicity(empty, none).count() == 0
 
