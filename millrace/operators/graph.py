@@ -53,19 +53,87 @@ def ranked_triples(triples: DataFrame, tokens: list[str], limit: int = 20) -> Da
     return scored.orderBy(F.desc("score"), "subject", "relation", "object").limit(limit)
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(id, depth, cyclic) of a parent table (id, parent): steps to the root, and whether the walk meets itself."""
-    up = nodes.select(F.col("id").alias("p"), F.col("parent").alias("pp"))
-    walk = nodes.select("id", F.col("parent").alias("at"), F.array("id").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic"))
-    for _ in range(max_depth):
-        step = walk.join(up, walk["at"] == up["p"], "left")
-        again = F.col("at").isNotNull() & F.array_contains("path", F.col("at"))
-        walk = step.select(
-            "id",
-            F.when(again, None).otherwise(F.col("pp")).alias("at"),
-            F.when(F.col("at").isNull() | again, F.col("path")).otherwise(F.concat("path", F.array("at"))).alias("path"),
-            F.when(F.col("at").isNull() | again, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
-            (F.col("cyclic") | again).alias("cyclic"),
-        )
-    return walk.select("id", "depth", "cyclic")
-
+def ancestors(nodes: DataFrame, most: int = 10_000) -> DataFrame:
+    """(id, depth, cyclic) of a parent table (id, parent): steps to the root, and whether the walk meets itself.
+
+    A walk is a row that knows where it is and where a walk of half its steps is
+    (the tortoise to its hare), so no path is kept; each round is written and the
+    next one reads only walks that still move. Raises after `most` rounds. depth is
+    null for walks that meet themselves; a parent that isn't a node ends a walk.
+    """
+    from millrace.runtime import materialize
+
+    up = materialize(nodes.select(F.col("id").alias("p"), F.col("parent").alias("pp")), "parents")
+    walk = materialize(nodes.select("id", F.col("parent").alias("at"), F.col("id").alias("slow"), F.lit(0).alias("depth")), "walks")
+    ended = []
+    for step in range(1, most + 1):
+        on = walk.where("at is not null")
+        ended.append(walk.where("at is null").select("id", "depth", F.lit(False).alias("cyclic")))
+        if on.isEmpty():
+            break
+        moved = on.join(up, on["at"] == up["p"], "left").select("id", F.col("pp").alias("at"), F.col("at").alias("here"), "slow", (F.col("depth") + F.col("p").isNotNull().cast("int")).alias("depth"))
+        if step % 2 == 0:
+            up2 = up.select(F.col("p").alias("q"), F.col("pp").alias("next"))
+            moved = moved.join(up2, moved["slow"] == up2["q"], "left").select("id", "at", "here", F.col("next").alias("slow"), "depth")
+        moved = materialize(moved, "walks")
+        ended.append(moved.where("at is not null and here = slow").select("id", F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic")))
+        walk = moved.where("at is null or here <> slow or slow is null").select("id", "at", "slow", "depth")
+    else:
+        raise RuntimeError(f"walks still move after {most} rounds")
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.union(part)
+    return out
+
+
+def entity_mentions(triples: DataFrame, limit: int = 100) -> DataFrame:
+    """The entities with most triples at either end."""
+    ends = triples.select(F.col("subject").alias("entity")).union(triples.select("object"))
+    return ends.groupBy("entity").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "entity").limit(limit)
+
+
+def pruned(triples: DataFrame, most: int, by: list) -> DataFrame:
+    """All but the rows that come last beyond `most` in the order `by`: a top-k, so no global sort is kept."""
+    return triples.orderBy(*by).limit(most)
+
+
+#: What joins subject and object, and the relation's name, in order. Fixed values.
+_S, _T = "([A-Z][a-zA-Z0-9\\s]{1,40})", "([A-Z][a-zA-Z0-9\\s]{1,30})"
+TRIPLE_PATTERNS = (
+    ("is", f"(?i){_S}\\s+is\\s+(?:a|an|the)?\\s*([a-zA-Z][^\\.\\,]{{2,60}})"),
+    ("has", f"(?i){_S}\\s+has\\s+([a-zA-Z][^\\.\\,]{{2,60}})"),
+    ("uses", f"(?i){_S}\\s+uses?\\s+([a-zA-Z][^\\.\\,]{{2,60}})"),
+    ("created", f"(?i){_S}\\s+(?:created|made|built)\\s+([a-zA-Z][^\\.\\,]{{2,60}})"),
+    ("works_at", f"(?i){_T}\\s+works?\\s+(?:at|for)\\s+{_S}"),
+    ("located_in", f"(?i){_S}\\s+(?:located|based)\\s+in\\s+{_S}"),
+    ("part_of", f"(?i){_S}\\s+(?:belongs\\s+to|is\\s+part\\s+of)\\s+{_S}"),
+    ("contains", f"(?i){_S}\\s+contains?\\s+([a-zA-Z][^\\.\\,]{{2,50}})"),
+    ("means", "(?i)([A-Z][a-zA-Z0-9]{1,30})\\s+means?\\s+([a-zA-Z][^\\.\\,]{2,60})"),
+    ("causes", f"(?i){_S.replace('A-Z', 'a-zA-Z', 1)}\\s+causes?\\s+([a-zA-Z][^\\.\\,]{{2,60}})"),
+    ("depends_on", f"(?i){_S}\\s+(?:depends\\s+on|requires?)\\s+([a-zA-Z][^\\.\\,]{{2,50}})"),
+    ("produces", f"(?i){_S}\\s+(?:produces?|generates?)\\s+([a-zA-Z][^\\.\\,]{{2,50}})"),
+    ("contradicts", f"(?i){_S}\\s+contradicts?\\s+([a-zA-Z][^\\.\\,]{{2,60}})"),
+    ("precedes", f"(?i){_S}\\s+(?:precedes?|comes?\\s+before)\\s+{_S}"),
+    ("similar_to", f"(?i){_S}\\s+(?:is\\s+)?similar\\s+to\\s+{_S}"),
+    ("instance_of", f"(?i){_T}\\s+is\\s+an?\\s+instance\\s+of\\s+{_S}"),
+    ("derived_from", f"(?i){_S}\\s+(?:is\\s+)?derived\\s+from\\s+{_S}"),
+    ("enables", f"(?i){_S}\\s+enables?\\s+([a-zA-Z][^\\.\\,]{{2,50}})"),
+    ("inhibits", f"(?i){_S}\\s+(?:inhibits?|prevents?)\\s+([a-zA-Z][^\\.\\,]{{2,50}})"),
+    ("named", f"(?i){_T}\\s+(?:is\\s+)?named\\s+{_T}"),
+)
+
+
+def extract_triples(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows' other columns with subject, relation, object: a row for each match of a pattern, each triple of a row once."""
+    cut = lambda c: F.substring(F.regexp_replace(c, "^\\s+|\\s+$", ""), 1, 60)
+
+    def of(relation: str, pattern: str):
+        return F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2), lambda s, o: F.struct(cut(s).alias("subject"), F.lit(relation).alias("relation"), cut(o).alias("object")))
+
+    found = F.flatten(F.array(*[of(r, p) for r, p in TRIPLE_PATTERNS]))
+    long = F.filter(found, lambda t: (F.length(t["subject"]) > 2) & (F.length(t["object"]) > 2))
+    same = lambda t, u: (F.lower(t["subject"]) == F.lower(u["subject"])) & (t["relation"] == u["relation"]) & (F.lower(t["object"]) == F.lower(u["object"]))
+    keep = [c for c in rows.columns if c != text]
+    listed = rows.select(*keep, long.alias("_t"))
+    first = F.filter("_t", lambda t, i: ~F.exists(F.slice("_t", 1, i), lambda u: same(t, u)))
+    return listed.select(*keep, F.explode(first).alias("_t")).select(*keep, "_t.*")

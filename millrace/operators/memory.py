@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
 
@@ -75,7 +78,71 @@ def recent(rows: DataFrame, session: str, order: str, n: int = 3) -> DataFrame:
     return rows.withColumn("age", F.row_number().over(W.partitionBy(session).orderBy(F.desc(order)))).where(F.col("age") <= n)
 
 
-def admit(duplicate: Column, importance_: Column, correction: Column, filler: Column, replaces: Column, age: Column, strong_kind: Column, exact: float = 0.98, near: float = 0.85, bar: float = 0.55, window: float = 86400.0) -> Column:
+#: Words of the admission policy. Fixed values.
+FILLERS = "ok okay yes no sure cool nice thanks thank hi hello hey hmm uh um lol haha yeah yep nope meh".split()
+CORRECTIONS = ("actually", "correction", "correct:", "wrong", "not ", "no,", "instead of", "update:", "was mistaken", "meant to say")
+PREFERENCES = ("prefer", "preference", "like", "favourite", "favorite", "hate", "dislike", "always use", "never use", "changed my mind", "instead of")
+ATTRIBUTES = "color colour language tone style font theme editor shell browser framework timezone unit units currency notation".split()
+STRONG_KINDS = ("goal", "preference", "correction", "learning")
+
+
+def policy_tokens(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9][A-Za-z0-9_\\-]*"), 0), F.lower)
+
+
+def _any(low: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
+def is_filler(text: Column, min_tokens: int = 2, min_chars: int = 4) -> Column:
+    tok = policy_tokens(F.trim(text))
+    return (F.length(F.trim(text)) < min_chars) | (F.size(tok) < min_tokens) | (F.size(F.filter(tok, lambda t: ~t.isin(*FILLERS))) == 0)
+
+
+def is_correction(text: Column) -> Column:
+    return _any(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), CORRECTIONS)
+
+
+def is_preference(text: Column) -> Column:
+    return _any(F.lower(text), PREFERENCES)
+
+
+def replaces_preference(text: Column, former: Column, likeness: Column) -> Column:
+    """Both name the same attribute, the text states a preference or a value, and they are alike but not equal."""
+    shared = F.size(F.array_intersect(F.array_intersect(policy_tokens(text), policy_tokens(former)), F.array(*map(F.lit, ATTRIBUTES)))) > 0
+    states = is_preference(text) | F.lower(text).contains(" is ") | F.lower(text).contains(" are ")
+    return shared & states & (likeness >= 0.35) & (likeness < 0.98)
+
+
+@F.arrow_udf(T.DoubleType())
+def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Ratio of matching blocks of two texts, trimmed and in lower case."""
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        x, y = (x or "").strip().lower(), (y or "").strip().lower()
+        out.append(float(not x and not y) if not x or not y else SequenceMatcher(None, x, y).ratio())
+    return pa.array(out, pa.float64())
+
+
+def admissions(candidates: DataFrame, history: DataFrame, most: int = 500) -> DataFrame:
+    """(id, reason, duplicate, importance) of candidates (id, owner, text, kind, hint, now) against the history (owner, at, text, ts) of their owner.
+
+    The policy looks at an owner's first `most` memories by `at`; that bound is its own.
+    """
+    seen = history.withColumn("_n", F.row_number().over(W.partitionBy("owner").orderBy("at"))).where(F.col("_n") <= most)
+    pairs = candidates.select("id", "owner", F.col("text").alias("new")).join(seen, "owner").select("id", "at", "ts", F.col("text").alias("former"), likeness(F.col("new"), F.col("text")).alias("s"))
+    best = pairs.where("s > 0").groupBy("id").agg(F.max(F.struct("s", (-F.col("at")).alias("at"), "former", "ts")).alias("b"))
+    known = seen.select("owner").distinct().withColumn("_known", F.lit(True))
+    rows = candidates.join(best, "id", "left").join(known, "owner", "left")
+    dup, imp = F.round(F.coalesce("b.s", F.lit(0.0)), 4), F.round(importance(F.col("text"), F.col("hint"), F.col("kind")), 4)
+    replaces = F.coalesce(replaces_preference(F.col("text"), F.col("b.former"), F.col("b.s")), F.lit(False))
+    age = F.greatest(F.lit(0.0), F.col("now") - F.coalesce("b.ts", F.lit(0.0)))
+    signal = is_preference(F.col("text")) & F.coalesce("_known", F.lit(False))
+    reason = admit(dup, imp, is_correction(F.col("text")), is_filler(F.col("text")), replaces, age, F.col("kind").isin(*STRONG_KINDS), signal=signal)
+    return rows.select("id", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "rejected_empty").otherwise(reason).alias("reason"), dup.alias("duplicate"), imp.alias("importance"))
+
+
+def admit(duplicate: Column, importance_: Column, correction: Column, filler: Column, replaces: Column, age: Column, strong_kind: Column, exact: float = 0.98, near: float = 0.85, bar: float = 0.60, window: float = 86400.0, signal: Column | None = None) -> Column:
     """The admission reason: filler, exact copies, corrections, near copies, then importance and novelty."""
     return (
         F.when(filler, "rejected_low_value")
@@ -87,6 +154,7 @@ def admit(duplicate: Column, importance_: Column, correction: Column, filler: Co
         .when((duplicate >= near) & (age < window), "rejected_near_duplicate_recent")
         .when((duplicate >= near) & ((importance_ >= bar * 0.66) | strong_kind), "admitted_stale_duplicate")
         .when(duplicate >= near, "rejected_near_duplicate_recent")
+        .when((importance_ >= bar) & (F.lit(False) if signal is None else signal), "admitted_preference_change")
         .when(importance_ >= bar, "admitted_high_importance")
         .when(duplicate == 0, "admitted_novel")
         .when(importance_ >= bar * 0.66, "admitted_repeated_important")

@@ -163,12 +163,6 @@ def near_dedup_keep(spark, sf):
     return similarity.near_classes(docs(spark, sf).select("doc_id", "text"), materialize)
 
 
-@query()
-def minhash_signatures(spark, sf):
-    sets = similarity.shingle_classes(docs(spark, sf).select("doc_id", "text"))
-    return sets.select("doc_id", F.size("grams").alias("n"), similarity.minhash_bands(similarity.minhash(F.col("grams"), 32)).alias("bands"))
-
-
 # --- quality, language, classes ---
 
 
@@ -535,7 +529,7 @@ def memory_importance(spark, sf):
 
 @query(f"""WITH b AS (SELECT conv_id, turn, {KIND_SQL} AS k, lower(text) AS low, text, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS n FROM conversations),
   s AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE 0.35 * 0.5 + 0.25 * {BIAS_SQL} + 0.2 * least(1.0, 0.15 * ({MARKS_SQL})) + 0.2 * least(1.0, greatest(0.0, (n - 3) / 27.0)) END AS imp, CASE WHEN turn > min(turn) OVER (PARTITION BY lower(trim(text)), conv_id) THEN 1.0 ELSE 0.0 END AS dup FROM b)
-  SELECT CASE WHEN length(text) < 4 OR n < 2 THEN 'rejected_low_value' WHEN dup >= 0.98 AND contains(low, 'actually') THEN 'admitted_correction' WHEN dup >= 0.98 THEN 'rejected_exact_duplicate' WHEN contains(low, 'actually') THEN 'admitted_correction' WHEN imp >= 0.55 THEN 'admitted_high_importance' WHEN dup = 0 THEN 'admitted_novel' ELSE 'rejected_low_value' END AS reason, count(*) AS n FROM s GROUP BY 1""")
+  SELECT CASE WHEN length(text) < 4 OR n < 2 THEN 'rejected_low_value' WHEN dup >= 0.98 AND contains(low, 'actually') THEN 'admitted_correction' WHEN dup >= 0.98 THEN 'rejected_exact_duplicate' WHEN contains(low, 'actually') THEN 'admitted_correction' WHEN imp >= 0.60 THEN 'admitted_high_importance' WHEN dup = 0 THEN 'admitted_novel' ELSE 'rejected_low_value' END AS reason, count(*) AS n FROM s GROUP BY 1""")
 def admission_decision(spark, sf):
     """The admission cascade; a text said before in its conversation counts as an exact copy."""
     c = table(spark, sf, "conversations")

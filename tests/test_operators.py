@@ -64,8 +64,10 @@ def test_graph(spark):
     seen = spark.createDataFrame([("a", 1, 0.7), ("a", 2, 0.7), ("b", 1, 0.4)], "s string, i long, confidence double")
     assert [tuple(r) for r in graph.fold_confidence(seen, ["s"], ["i"]).collect()] == [("a", 0.805, 2)]
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4)], "id long, parent long")
-    assert {r.id: (r.depth, r.cyclic) for r in graph.ancestors(tree, 6).collect() if r.id < 4} == {1: (0, False), 2: (1, False), 3: (2, False)}
-    assert all(r.cyclic for r in graph.ancestors(tree, 6).collect() if r.id > 3)
+    assert {r.id: (r.depth, r.cyclic) for r in graph.ancestors(tree).collect()} == {1: (0, False), 2: (1, False), 3: (2, False), 4: (None, True), 5: (None, True)}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(20)] + [(50, 51), (51, 52), (52, 50), (53, 50), (60, 99)], "id long, parent long")
+    walked = {r.id: (r.depth, r.cyclic) for r in graph.ancestors(chain).collect()}
+    assert walked == {i: (i, False) for i in range(20)} | {i: (None, True) for i in (50, 51, 52, 53)} | {60: (0, False)}
     t = spark.createDataFrame([("x", "r", "p", 0.9), ("x", "r", "q", 0.6)], "subject string, relation string, object string, confidence double")
     assert graph.contradictions(t).first()["preferred"] == "p"
     assert graph.ranked_triples(t, ["x", "p"]).first()["score"] == pytest.approx(0.96)
