@@ -1,16 +1,21 @@
 """Text expressions: cleaning, token and shingle arrays, quality, language, classes, PII.
 
-All are Catalyst expressions. Regex classes are spelled out so that they mean
+All but `entropy` and `word_shape` are Catalyst expressions. Regex classes are spelled out so that they mean
 the same in Java and elsewhere.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 STOPWORDS = ("the", "and", "of", "to", "in", "a", "is", "for", "that", "on", "with", "as", "by", "this", "from")
@@ -44,6 +49,7 @@ SSN, CARD = "[0-9]{3}-[0-9]{2}-[0-9]{4}", "(?:[0-9][ -]?){13,16}"
 SECRET = "(?i)(?:api[_-]?key|secret|password|token|passwd)[ \\t]*[=:][ \\t]*[^ \\t\\n\\r]+"
 SK_KEY, GH_KEY = "sk-[A-Za-z0-9]{20,}", "ghp_[A-Za-z0-9]{36}"
 SPACE = "[ \\t\\n\\r\\f\\x0B]+"
+_SPACES = re.compile(SPACE)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -176,7 +182,10 @@ def language_of_four(text: Column) -> Column:
 
 def class_labels(text: Column) -> Column:
     """Up to three labels by keyword hits, then name; Technical where none hits."""
-    low = F.lower(text)
+    return let(F.lower(text), _labels)
+
+
+def _labels(low: Column) -> Column:
     scored = F.array(*[F.struct((-reduce(lambda a, b: a + b, [low.contains(k).cast("int") for k in kw])).alias("hits"), F.lit(name).alias("label")) for name, kw in CATEGORIES.items()])
     best = F.slice(F.transform(F.array_sort(F.filter(scored, lambda s: s["hits"] < 0)), lambda s: s["label"]), 1, 3)
     return F.when(F.size(best) > 0, best).otherwise(F.array(F.lit("Technical")))
@@ -187,8 +196,33 @@ def difficulty(text: Column) -> Column:
     return F.when(F.size(words(text)) < 120, "basic").when(reduce(lambda a, b: a | b, [low.contains(k) for k in ADVANCED]), "advanced").otherwise("intermediate")
 
 
+@F.arrow_udf(T.DoubleType())
+def _entropy(text: pa.Array) -> pa.Array:
+    out = []
+    for t in text.to_pylist():
+        if not t:
+            out.append(None if t is None else 0.0)
+            continue
+        n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)[1] / len(t)
+        out.append(float(-(n * np.log2(n)).sum()))
+    return pa.array(out, pa.float64())
+
+
 def entropy(text: Column) -> Column:
-    """Shannon entropy over characters, in bits; 0 for an empty text."""
-    counts = runs(F.sort_array(F.filter(F.split(text, ""), lambda c: c != "")))
-    share = lambda r: r / F.length(text)
-    return F.when(F.length(text) > 0, -F.aggregate(F.transform(counts, lambda r: share(r) * F.log2(share(r))), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+    """Shannon entropy over characters, in bits; 0 for an empty text. One Arrow pass: a histogram in lambdas is 30 times slower."""
+    return _ENTROPY(text)
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("n", "distinct", "top")]))
+def _word_shape(text: pa.Array) -> pa.Array:
+    n, distinct, top = [], [], []
+    for t in text.to_pylist():
+        w = Counter(_SPACES.split((t or "").lower().strip(" \t\n\r\f\x0b"))) if t and t.strip(" \t\n\r\f\x0b") else Counter()
+        n.append(w.total())
+        distinct.append(len(w))
+        top.append(sum(c for _, c in w.most_common(3)))
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in (n, distinct, top)], names=["n", "distinct", "top"])
+
+
+# Filters on their results would otherwise run them a second time.
+_ENTROPY, word_shape = _entropy.asNondeterministic(), _word_shape.asNondeterministic()

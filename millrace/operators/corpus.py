@@ -73,13 +73,13 @@ def top_share(words: Column, top: int = 3) -> Column:
 def paragraph_scores(rows: DataFrame, text: Column | None = None) -> DataFrame:
     """rows with the six paragraph sub-scores and `quality` (4 digits)."""
     t = F.col("text") if text is None else text
-    base = rows.withColumns({"_t": t, "_w": X.words(F.lower(t))}).withColumns({"_n": F.size("_w"), "_top": top_share(F.col("_w"))})
+    base = rows.withColumns({"_t": t, "_w": X.word_shape(t)}).withColumns({"_n": F.col("_w.n"), "_top": X.ratio(F.col("_w.top"), F.col("_w.n"))})
     n, one = F.col("_n"), F.lit(1.0)
     sentences = F.size(F.filter(F.split("_t", "[.!?]+"), lambda s: s.rlike("[^ \\t\\n\\r\\f\\x0B]")))
     per = n / sentences
     sub = {
         "word_count": F.when(n < 8, 0.0).when(n < 20, 0.5).when(n <= 500, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - (n - 500) / 2000)),
-        "lexical_richness": F.when(n == 0, 0.0).otherwise(F.least(one, F.size(F.array_distinct("_w")) / n / 0.5)),
+        "lexical_richness": F.when(n == 0, 0.0).otherwise(F.least(one, F.col("_w.distinct") / n / 0.5)),
         "sentence_variety": F.when(sentences == 0, 0.0).when(per.between(10, 30), 1.0).when(per < 5, 0.3).when(per > 60, 0.4).otherwise(0.7),
         "printable_ratio": X.ratio(F.length("_t") - X.count_outside(F.col("_t"), "[\\p{C}\\p{Z}&&[^ \\n\\t]]+"), F.length("_t")),
         "pii_clean": F.when(X.has_pii(F.col("_t")), 0.0).otherwise(1.0),
