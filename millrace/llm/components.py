@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is two aggregations with map-side combine and one equi-join, so a
-node with very many neighbours is never gathered into one row or task.
+node with very many neighbours is never gathered into one row. Its edges meet in
+the join by the node; Spark splits that partition when it passes its skew threshold.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ references go back to their documents, which drop those lines. A shard with
 many references is dealt over several tasks, each with its own copy of the
 filter, so that one very common line is no one task's burden.
 
-`LineIndex` keeps the reference rows on disk as a log with +1 and -1 deltas,
-so inserting documents and deleting them again restores the former state.
+`LineIndex` is the incremental form: filters and exact references stay in a
+folder, insertions and deletions update both, and a deletion undoes an insertion.
 
 Defined cases: null or empty text is one empty line; a null doc_id owns and
 loses nothing; rows that repeat a doc_id are the same document; an empty table
@@ -44,8 +44,8 @@ PART_REFS = 200_000
 class CuckooFilter:
     """Cuckoo filter of 16-bit fingerprints, four to a bucket, with deletion.
 
-    Vectorised lookups; insertion kicks entries about and grows the table when
-    it cannot place one, so it never loses a key. Items are (h1, h2) pairs of
+    Vectorised lookups; insertion kicks entries about and stashes one that it
+    cannot place, so it never loses a key. Items are (h1, h2) pairs of
     longs; the exact hashes are kept by the caller's reference table.
     """
 
@@ -56,6 +56,23 @@ class CuckooFilter:
         self.table = np.zeros((self.n, self.SLOTS), dtype=np.uint16)
         self.stash: list[tuple[int, int]] = []
 
+    def dump(self) -> bytes:
+        return self.table.tobytes() + np.array(self.stash, dtype=np.int64).tobytes()
+
+    @classmethod
+    def load(cls, n: int, data: bytes) -> CuckooFilter:
+        """A filter of n buckets out of what `dump` gave."""
+        made, size = cls(1), n * cls.SLOTS * 2
+        made.n, made.table = n, np.frombuffer(data[:size], dtype=np.uint16).reshape(n, cls.SLOTS).copy()
+        made.stash = [tuple(p) for p in np.frombuffer(data[size:], dtype=np.int64).reshape(-1, 2).tolist()]
+        return made
+
+    def entries(self) -> list[tuple[int, int]]:
+        """(fingerprint, lesser of its two buckets) of each entry, sorted: the same however entries were kicked about."""
+        at, s = np.nonzero(self.table)
+        found = [(int(f), int(i)) for f, i in zip(self.table[at, s], at, strict=True)] + self.stash
+        return sorted((f, min(i, i ^ int(self._jump(f)))) for f, i in found)
+
     def _place(self, h1, h2):
         h1, h2 = np.asarray(h1, dtype=np.int64).view(np.uint64), np.asarray(h2, dtype=np.int64).view(np.uint64)
         fp = (h2 >> np.uint64(48)).astype(np.uint16)
@@ -210,7 +227,7 @@ def _without(min_chars: int):
             dropped.append(len(lines) - len(keep))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=["text", "n_lines", "n_dropped"])
 
-    return without
+    return without.asNondeterministic()  # else a filter on its result runs it a second time
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -229,33 +246,134 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return drop_lines(docs, drops(refs), id_col, text_col, min_chars)
 
 
-class LineIndex:
-    """A reversible index of line references in a folder: a log of (doc, h1, h2, delta).
+FILTERS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slots", T.IntegerType()), T.StructField("held", T.LongType()), T.StructField("filter", T.BinaryType())])
+PROBED = "h1 long, h2 long, maybe boolean"
+
+
+def _opened(row: pa.Table) -> CuckooFilter:
+    return CuckooFilter.load(row["slots"][0].as_py(), row["filter"][0].as_py())
+
+
+def _pairs(keys: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return keys["h1"].to_numpy(), keys["h2"].to_numpy()
+
+
+def _probe(filters: pa.Table, keys: pa.Table) -> pa.Table:
+    maybe = _opened(filters).contains(*_pairs(keys)) if keys.num_rows and filters.num_rows else np.zeros(keys.num_rows, bool)
+    return pa.table({"h1": keys["h1"], "h2": keys["h2"], "maybe": pa.array(maybe)})
+
 
-    insert appends +1 rows for documents that are not held yet, delete appends
-    -1 rows for what the documents hold; the state is the sum of deltas, so a
-    deletion undoes an insertion exactly. `drops` gives the references that go
-    in the present state, by the same filters and tables as the batch form.
+def _updated(delete: bool):
+    def update(filters: pa.Table, keys: pa.Table) -> pa.Table:
+        if not filters.num_rows:
+            raise ValueError("a key of a shard without a filter")
+        f, held = _opened(filters), filters["held"][0].as_py()
+        if keys.num_rows:
+            (f.delete if delete else f.insert)(*_pairs(keys))
+            held += -keys.num_rows if delete else keys.num_rows
+        return pa.table({"shard": filters["shard"], "slots": filters["slots"], "held": pa.array([held], pa.int64()), "filter": pa.array([f.dump()], pa.binary())})
+
+    return update
+
+
+class LineIndex:
+    """A reversible index of line references in a folder: sharded cuckoo filters over an exact log.
+
+    `refs` holds (doc, h1, h2, delta), +1 for what an insertion adds and -1 for what a
+    deletion takes; the sum is the exact state, and its count by key the reference
+    count. `filters/vN` holds a cuckoo filter for each shard of keys, with one entry
+    for each distinct key that some document holds.
+
+    insert probes the new documents' keys in the filters: a key that the filter
+    lacks is new for certain, and only those it may hold are looked up in the exact
+    counts. New keys are entered. delete takes out the keys whose count falls to
+    zero. So after an insertion and its deletion filters and counts are what they were.
+    Shards whose filter would fill over `LOAD` are built anew, twice as large, from
+    their exact keys. A version is complete before the log is appended; a call
+    that failed in between is repeated, and a filter with keys too many only costs look-ups.
+
+    Documents that are held already, and null ids and texts, are not inserted.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.schema = T.StructType([*REFS.fields, T.StructField("delta", T.IntegerType())])
-        spark.createDataFrame([], self.schema).write.mode("append").parquet(path)
+    LOAD = 0.85
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+    def __init__(self, spark: SparkSession, path: str, shards: int = 16, capacity: int = SHARD_KEYS):
+        self.spark, self.path, self.shards = spark, path, shards
+        self.schema = T.StructType([*REFS.fields, T.StructField("delta", T.IntegerType())])
+        if self.version() < 0:
+            spark.createDataFrame([], self.schema).write.mode("append").parquet(f"{path}/refs")
+            empty = CuckooFilter(capacity)
+            spark.createDataFrame([(k, empty.n, 0, bytearray(empty.dump())) for k in range(shards)], FILTERS).write.parquet(f"{path}/filters/v0")
+
+    def version(self) -> int:
+        """The newest complete version of the filters; -1 if there is none."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/filters")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return -1
+        names = [s.getPath() for s in fs.listStatus(root)]
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return max((int(p.getName()[1:]) for p in names if fs.exists(done(p, "_SUCCESS"))), default=-1)
+
+    def filters(self) -> DataFrame:
+        return self.spark.read.schema(FILTERS).parquet(f"{self.path}/filters/v{self.version()}")
 
     def state(self) -> DataFrame:
-        return self._log().groupBy("doc", "h1", "h2").agg(F.sum("delta").alias("n")).where("n > 0").select("doc", "h1", "h2")
+        """(doc, h1, h2) of what is held."""
+        log = self.spark.read.schema(self.schema).parquet(f"{self.path}/refs")
+        return log.groupBy("doc", "h1", "h2").agg(F.sum("delta").alias("n")).where("n > 0").select("doc", "h1", "h2")
+
+    def counts(self) -> DataFrame:
+        """The exact reference counts of what is held."""
+        return reference_counts(self.state())
+
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.select("h1", "h2", F.pmod("h2", F.lit(self.shards)).cast("int").alias("shard"))
+
+    def _with_filters(self, filters: DataFrame, keys: DataFrame, f, schema) -> DataFrame:
+        return filters.groupBy("shard").cogroup(self._sharded(keys).groupBy("shard")).applyInArrow(f, schema)
+
+    def _write(self, filters: DataFrame) -> None:
+        filters.write.mode("overwrite").parquet(f"{self.path}/filters/v{self.version() + 1}")
+
+    def _append(self, refs: DataFrame, delta: int) -> None:
+        refs.select("doc", "h1", "h2", F.lit(delta).cast("int").alias("delta")).write.mode("append").parquet(f"{self.path}/refs")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        new = references(docs, id_col, text_col).distinct().join(self.state(), ["doc", "h1", "h2"], "left_anti")
-        materialize(new, "line-new").withColumn("delta", F.lit(1)).write.mode("append").parquet(self.path)
+        bound_batches(self.spark)
+        held = self.state().select("doc").distinct()
+        new = materialize(references(docs, id_col, text_col).distinct().join(held, "doc", "left_anti"), "line-new")
+        probed = materialize(self._with_filters(self.filters(), new.select("h1", "h2").distinct(), _probe, PROBED), "line-probed")
+        known = probed.where("maybe").select("h1", "h2").join(self.counts(), ["h1", "h2"], "left_semi")
+        fresh = materialize(probed.select("h1", "h2").join(known, ["h1", "h2"], "left_anti"), "line-fresh")
+        filters, keys = self._roomy(fresh)
+        self._write(self._with_filters(filters, keys, _updated(False), FILTERS))
+        self._append(new, 1)
+
+    def _roomy(self, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The filters and the keys to enter; shards that would be too full begin anew with all their keys."""
+        filters = self.filters()
+        more = self._sharded(fresh).groupBy("shard").agg(F.count("*").alias("more"))
+        room = F.col("slots") * (CuckooFilter.SLOTS * self.LOAD)
+        full = [r.asDict() for r in filters.join(more, "shard").where(F.col("held") + F.col("more") > room).select("shard", (F.col("held") + F.col("more")).alias("n")).collect()]  # at most a row a shard
+        if not full:
+            return filters, fresh
+        bare = [(r["shard"], (e := CuckooFilter(2 * r["n"])).n, 0, bytearray(e.dump())) for r in full]
+        over = [r["shard"] for r in full]
+        rest = filters.where(~F.col("shard").isin(over))
+        again = self._sharded(self.state().select("h1", "h2").distinct()).where(F.col("shard").isin(over)).select("h1", "h2")
+        return rest.union(self.spark.createDataFrame(bare, FILTERS)), fresh.union(again).distinct()
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
-        gone = self.state().join(ids.select(F.col(id_col).alias("doc")).distinct(), "doc", "left_semi")
-        materialize(gone, "line-gone").withColumn("delta", F.lit(-1)).write.mode("append").parquet(self.path)
+        bound_batches(self.spark)
+        state = self.state()
+        gone = materialize(state.join(ids.select(F.col(id_col).cast("long").alias("doc")).distinct(), "doc", "left_semi"), "line-gone")
+        keys = gone.select("h1", "h2").distinct()
+        left = state.join(gone.select("doc").distinct(), "doc", "left_anti").select("h1", "h2")
+        dead = materialize(keys.join(left, ["h1", "h2"], "left_anti"), "line-dead")
+        self._write(self._with_filters(self.filters(), dead, _updated(True), FILTERS))
+        self._append(gone, -1)
 
     def drops(self) -> DataFrame:
+        """The references that go in the present state, as in the batch form."""
         return drops(materialize(self.state(), "line-state"))

@@ -9,8 +9,9 @@ its votes. A prior worth PULL of all documents keeps the two classes from
 drifting to some other division of the corpus. The whole of it is DataFrame and SQL
 functions: the EM is one fold over an array, in one row.
 
-Statistics are exact. Repeated 5-word windows are found in each text by
-sorting (hash, position) pairs, only in texts where two windows share a hash.
+Repeated 5-word windows are found in each text by sorting (hash, position)
+pairs, only in texts where two windows share a hash; windows of one text with the
+same XXH64 value count as equal. All other statistics are exact.
 
 Defined cases: null or empty text has no words and is not kept; null or
 repeated ids are judged row by row; an empty table gives an empty result;

@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
 Patterns give the base spans. The entropy scan takes every maximal run of
-[A-Za-z0-9+/_.=-] that is long enough, slides a window of the class's width
+[A-Za-z0-9+/_=-] that is long enough (dots end it, as they end words), slides a window of the class's width
 over it and keeps the Shannon entropy of the window by incremental counts: one
 character enters, one leaves, and the sum of n*log2(n) changes by two terms.
 The windows at or above the class's threshold are joined to a span of kind
 `entropy`. Classes are tried from the narrowest alphabet to the widest. A run
-that an allow-list pattern matches is left alone, and so is one without both
-letters and digits, as words are.
+that an allow-list pattern matches is left alone, and so is one without
+letters. A run of letters alone is a candidate only if it mixes cases beyond a
+capital at its start, and must come near to the most entropy a window can have,
+as long words and names made of several words don't.
 
 Defined cases: null text is empty; null or repeated ids are scanned row by
 row; an empty table gives an empty result; other columns are ignored.
@@ -38,6 +40,8 @@ CLASSES = (
     ("alnum", re.compile(r"[0-9A-Za-z]+"), 20, 3.6),
     ("base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 20, 3.7),
 )
+#: Window and least entropy of runs without digits. Fixed values.
+LETTERS = (20, 4.1)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
 #: Runs that look random and aren't secret. Fixed values.
@@ -76,7 +80,7 @@ def windows(run: str, width: int, least: float) -> list[tuple[int, int]]:
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Leftmost non-overlapping matches of each kind; an assignment's span is its value's."""
+    """Leftmost non-overlapping matches of each kind; an assignment's span runs from its name to the end of its value."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
@@ -89,7 +93,13 @@ def entropy_spans(text: str, allow: tuple[str, ...] = ALLOW) -> list[tuple[str,
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
-        if run.isalpha() or not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)) or any(a.fullmatch(run) for a in allowed):
+        digits = any(map(str.isdigit, run))
+        if not digits and (run[1:].islower() or run.isupper()):
+            continue
+        if not any(map(str.isalpha, run)) or any(a.fullmatch(run) for a in allowed):
+            continue
+        if not digits:
+            out += [("entropy", m.start() + a, m.start() + b) for a, b in windows(run, *LETTERS)]
             continue
         for _, alphabet, width, least in CLASSES:
             if len(run) >= width and alphabet.fullmatch(run):

@@ -10,8 +10,9 @@ radius 1 around both segments share a point. Each distinct fingerprint goes to
 the 33 points of the ball of each segment (66 rows); fingerprints that meet at
 a point are table matches, whose complete distances are verified. A bucket
 gives the edges of a spanning forest of its verified links, never its pairs.
-A bucket over `block` fingerprints is compared in blocks against blocks, so
-that its work needs bounded memory; no candidate is dropped.
+A task holds a bucket's distinct fingerprints, 8 bytes each, and compares them
+in blocks against blocks; no candidate is dropped. A bucket's work grows with the
+square of the distinct fingerprints that share a 32-bit segment but for a bit.
 
 Defined cases: null text has fingerprint zero; rows with a null doc_id belong
 to the component of their fingerprint and do not name it; repeated ids and

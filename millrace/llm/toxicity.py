@@ -54,7 +54,7 @@ from pyspark.sql import types as T
 
 from millrace.runtime import bound_batches, fresh
 
-MAX_TOXIC, MAX_CLEAN, MAX_FIT, FOLDS = 2000, 8000, 60_000, 5
+MAX_TOXIC, MAX_CLEAN, MAX_FIT, FOLDS = 1500, 4500, 60_000, 5
 SHORTEST, LONGEST = 3, 14
 
 #: Words of the lexicon besides learned insults. Fixed values.
@@ -216,13 +216,13 @@ _MIX = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]],
 _HASHES = np.array([[0xFF51AFD7ED558CCD], [0xC4CEB9FE1A85EC53], [0xD6E8FEB86659FD93], [0xA0761D6478BD642F], [0xE7037ED1A0B428DB], [0x8EBC6AF09C88C6E3]], dtype=np.uint64)
 
 
-def line_sketch(hashes: list[int]) -> list[tuple[int, int]]:
+def line_sketch(hashes: list[int]) -> list[int]:
     """Three pairs of min-hashes of a line's shingles of three words (fewer words: the whole line)."""
     a = np.array(hashes + [2**31] * max(0, 3 - len(hashes)), dtype=np.uint64) + np.uint64(1)
     shingles = a[:-2] * _MIX[0, 0] + a[1:-1] * _MIX[0, 1] + a[2:] * _MIX[0, 2]
     mixed = (shingles ^ (shingles >> np.uint64(29))) * _HASHES
     least = (mixed ^ (mixed >> np.uint64(32))).min(1).tolist()
-    return list(zip(least[::2], least[1::2], strict=True))
+    return [hash(pair) for pair in zip(least[::2], least[1::2], strict=True)]
 
 
 class Lines:

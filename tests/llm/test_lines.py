@@ -74,3 +74,36 @@ def test_index_is_reversible(spark, frame, tmp_path):
     index.delete(more.where("doc_id = 0"))
     assert sorted(map(tuple, index.state().collect())) == before
     assert [r.doc for r in index.drops().collect()] == [2]
+
+
+def entries(index):
+    return {r.shard: CuckooFilter.load(r.slots, bytes(r.filter)).entries() for r in index.filters().collect()}
+
+
+def test_index_filters_follow_insertions_and_deletions(spark, frame, tmp_path):
+    rows = lambda ids: frame([(i, f"a line only of {i}, long\na line that all documents share\na line of half {i % 2} of them", "", "", 0, 0, "") for i in ids])
+    index = LineIndex(spark, f"file://{tmp_path}/index", shards=3, capacity=4)
+    index.insert(rows(range(8)))
+    before, counts = entries(index), sorted(map(tuple, index.counts().collect()))
+    assert sum(map(len, before.values())) == 8 + 1 + 2 == index.counts().count()  # one entry for each distinct key; shards grew from 4
+    index.insert(rows(range(6, 40)))
+    after = entries(index)
+    assert sum(map(len, after.values())) == 40 + 1 + 2
+    held = index.counts().collect()
+    for shard, f in {r.shard: CuckooFilter.load(r.slots, bytes(r.filter)) for r in index.filters().collect()}.items():
+        mine = [r for r in held if r.h2 % 3 == shard]
+        assert f.contains(np.array([r.h1 for r in mine]), np.array([r.h2 for r in mine])).all()
+    index.delete(rows(range(8, 40)).select("doc_id"))
+    assert sorted(map(tuple, index.counts().collect())) == counts
+    assert {k: len(v) for k, v in entries(index).items()} == {k: len(v) for k, v in before.items()}
+    assert {f for v in entries(index).values() for f, _ in v} == {f for v in before.values() for f, _ in v}
+    again = LineIndex(spark, f"file://{tmp_path}/index", shards=3)
+    assert again.version() == 3 and sorted(r.doc for r in again.drops().collect()) == sorted(r.doc for r in index.drops().collect())
+
+
+def test_names_that_clash(spark, frame):
+    df = frame([(1, "a line that is long enough", "", "", 0, 0, ""), (2, "a line that is long enough", "", "", 0, 0, "")])
+    for c in ("_gone", "_doc", "_kept", "_DOC_"):
+        df = df.withColumn(c, df["doc_id"])
+    out = line_dedup(df)
+    assert {(r.doc_id, r.n_dropped, r["_gone"]) for r in out.collect()} == {(1, 0, 1), (2, 1, 2)}

@@ -51,3 +51,11 @@ def test_frames(odd, empty):
     out = {r.doc_id: [(s.kind, s.found) for s in r.spans] for r in scan_secrets(odd).collect()}
     assert out[100] == [("assign", "token = abcdefgh12345678")] and out[0] == [] and len(scan_secrets(odd).collect()) == odd.count()
     assert scan_secrets(empty).count() == 0
+
+
+def test_runs_of_letters():
+    from millrace.llm.secrets import entropy_spans
+
+    assert entropy_spans("key qWzXcVbNmAsDfGhJkLpOeRtYuIqWzXcVbNmAsDfG end")
+    assert not entropy_spans("Donaudampfschifffahrtsgesellschaft internationalizations SHOUTINGWITHOUTANYSPACES HyperTextTransferProtocolSecureServer")
+    assert not entropy_spans("ciónciónciónciónción " + "ab" * 40)
