@@ -197,6 +197,18 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return narrow.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 40_000, size: int = 8_000_000) -> Iterator[pa.Table]:
+    """Batches joined until they hold so many rows or bytes: the recursions run over all words of a length at once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def adapted_weights(counts: DataFrame, model_path: str, rounds: int = ROUNDS, prior: float = 2000.0) -> np.ndarray:
     """Piece weights after EM from the vocabulary's scores, each distinct training word counting once.
 
@@ -209,7 +221,7 @@ def adapted_weights(counts: DataFrame, model_path: str, rounds: int = ROUNDS, pr
 
         def expect(batches: Iterator[pa.RecordBatch], weight: np.ndarray = weight) -> Iterator[pa.RecordBatch]:
             net, total = lattice(model_path, weight), 0
-            for b in batches:
+            for b in gathered(batches):
                 total = total + net.expected(b.column(0).to_pylist())
             if not isinstance(total, int):
                 at = np.flatnonzero(total)
@@ -228,8 +240,8 @@ def weigh_words(counts: DataFrame, model_path: str, weight: np.ndarray) -> DataF
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = lattice(model_path, weight)
-        for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(net.marginals(b.column(0).to_pylist()))], names=["word", "c", "lp"])
+        for b in gathered(batches):
+            yield from pa.table({"word": b["word"], "c": b["c"], "lp": pa.array(net.marginals(b["word"].to_pylist()))}).combine_chunks().to_batches()
 
     return counts.mapInArrow(weigh, "word string, c long, lp double")
 
