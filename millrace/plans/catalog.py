@@ -432,7 +432,12 @@ def embedding_norms(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(V.norm(F.col("embedding"))), 6).alias("mean_norm"))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'), '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents), s AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS sent FROM p),
+  f(doc_id, k, held, made) AS (SELECT doc_id, k, sent, NULL::VARCHAR FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.k, CASE WHEN held <> '' AND length(held) + 1 + length(sent) > 512 THEN regexp_extract(held, '([^ \t\n\r\f\x0B]+)[ \t\n\r\f\x0B]*$', 1) || ' ' || sent ELSE trim(held || ' ' || sent) END,
+    CASE WHEN held <> '' AND length(held) + 1 + length(sent) > 512 THEN held END FROM f JOIN s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
+  c AS (SELECT doc_id, k, made AS chunk FROM f WHERE made IS NOT NULL UNION ALL SELECT doc_id, 1000000000, held FROM f WHERE held <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1),
+  w AS (SELECT * FROM c WHERE len(list_filter(string_split_regex(chunk, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) >= 4), o AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS chunk_idx, chunk FROM w)
+  SELECT doc_id, chunk_idx, chunk, substr(md5(doc_id || ':' || chunk_idx || ':' || left(chunk, 40)), 1, 12) AS chunk_id FROM o""")
 def chunk_text(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(retrieval.chunk_texts()(F.col("text"))).alias("chunk_idx", "chunk")).withColumn("chunk_id", F.substring(F.md5(F.concat_ws(":", "doc_id", "chunk_idx", F.substring("chunk", 1, 40))), 1, 12))
 
@@ -639,12 +644,19 @@ def event_session(spark, sf):
     return stream.sessions(table(spark, sf, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), f(user_id, rn, event_id, s, level, allowed) AS (
+    SELECT user_id, rn, event_id, s, 1.0::DOUBLE, true FROM e WHERE rn = 1
+    UNION ALL SELECT e.user_id, e.rn, e.event_id, e.s, least(2.0, f.level + (e.s - f.s) * 2.0 / 60) - (least(2.0, f.level + (e.s - f.s) * 2.0 / 60) >= 1)::INT, least(2.0, f.level + (e.s - f.s) * 2.0 / 60) >= 1 FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+  SELECT event_id, allowed FROM f""")
 def rate_limit_fold(spark, sf):
-    return stream.token_bucket(table(spark, sf, "events"), 0.002)
+    """Which events a bucket of two a minute lets through, by user."""
+    e = table(spark, sf, "events")
+    return stream.token_bucket(e.withColumn("ts", F.col("ts").cast("timestamp")), 2.0)
 
 
-@query()
+@query("""WITH h AS (SELECT conv_id, turn, text, coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS past FROM conversations),
+  n AS (SELECT *, regexp_extract_all(past, '(?:^|[^A-Za-z])([A-Z][a-z]{2,})', 1)[-1] AS noun FROM h)
+  SELECT conv_id, turn, CASE WHEN noun IS NOT NULL AND regexp_matches(split_part(text, chr(10), 1), '(?i)(^|[^A-Za-z])(it|this|that)([^A-Za-z]|$)') THEN regexp_replace(text, '(?i)(^|[^A-Za-z])(it|this|that)([^A-Za-z]|$)', '\\1' || noun || '\\3') ELSE text END AS rewritten FROM n""")
 def query_rewrite(spark, sf):
     c = table(spark, sf, "conversations")
     past = F.concat_ws(" ", F.collect_list("text").over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1)))
