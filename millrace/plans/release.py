@@ -72,9 +72,7 @@ def cross_source_documents(spark, sf):
 @query("SELECT doc_id, len(s)::INTEGER AS n, list_sum(list_transform(s, lambda g: length(g)))::BIGINT AS chars FROM (SELECT doc_id, list_distinct(CASE WHEN length(text) < 5 THEN [text] ELSE list_transform(range(1, length(text) - 3), lambda i: substr(text, i, 5)) END) AS s FROM documents)")
 def character_shingles(spark, sf):
     """Distinct 5-character shingles of each text, as a count."""
-    t = col("text")
-    grams = F.when(F.length(t) < 5, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 4), lambda i: F.substring(t, i, 5))))
-    return docs(spark, sf).select("doc_id", grams.alias("s")).select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0), lambda a, g: a + F.length(g)).cast("long").alias("chars"))
+    return docs(spark, sf).select("doc_id", similarity.character_shingles()(col("text")).alias("s")).select("doc_id", "s.n", "s.chars")
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, unnest({sql_words('lower(text)')}) AS w FROM conversations), b AS (SELECT conv_id, turn, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS k, count(*) AS n FROM t GROUP BY 1, 2, 3),
