@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import checks as K
 from millrace.functions import text as X
-from millrace.operators import graph, memory, planning
+from millrace.operators import graph, memory, planning, similarity, summaries
 from millrace.plans.catalog import MEM_STOP, TRIPLES_SQL, _triples, query
 from millrace.plans.checking import MESSAGES, sql_cases
 from millrace.plans.cleaning import sql_replaced, sql_words
@@ -118,10 +120,21 @@ def recent_events(spark, sf):
     return memory.recent(table(spark, sf, "events").where("event_type <> 'error'"), "user_id", "event_id", 5).select("user_id", "event_id", "event_type")
 
 
-@query(f"WITH {MEM_SQL}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.toks, b.toks))::DOUBLE AS i, len(a.toks) + len(b.toks) AS n FROM mem a JOIN mem b ON a.id < b.id AND len(a.toks) > 0 AND len(b.toks) > 0) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM p WHERE i / (n - i) >= 0.6")
+REMEMBERED = Rows(
+    "remembered",
+    "id int, importance double, uses int, text string",
+    (
+        (1, 0.9, 2, "red boats sail past green harbours quickly today"), (2, 0.8, 1, "red boats sail past green harbours quickly"), (3, 0.7, 5, "wheat fields ripen under warm summer skies"), (4, 0.6, 1, "boats sail past green harbours quickly today red"), (5, 0.5, 4, "nothing alike stands here"),
+        (6, 0.4, 3, "wheat fields ripen under warm summer skies slowly"),
+    ),
+)
+
+
+@query(f"WITH {MEM_SQL}, {REMEMBERED.cte}, both AS (SELECT id, toks FROM mem UNION ALL SELECT -id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({MEM_STOP}))) FROM remembered), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.toks, b.toks))::DOUBLE AS i, len(a.toks) + len(b.toks) AS n FROM both a JOIN both b ON a.id < b.id AND len(a.toks) > 0 AND len(b.toks) > 0) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM p WHERE i / (n - i) >= 0.6")
 def memory_links(spark, sf):
     """Pairs of memories with a token Jaccard of 0.6: candidates share one of the rarest tokens that such a pair must share."""
-    m = materialize(_memories(spark, sf).select("id", "toks").where(F.size("toks") > 0), "memories")
+    written = REMEMBERED.df(spark).select((-col("id")).cast("long").alias("id"), memory.content_tokens(col("text")).alias("toks"))
+    m = materialize(_memories(spark, sf).select("id", "toks").union(written).where(F.size("toks") > 0), "memories")
     df = m.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     ranked = m.select("id", F.size("toks").alias("n"), F.explode("toks").alias("t")).join(df, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
     prefix = ranked.select("id", F.explode(F.slice("r", 1, (col("n") - F.ceil(col("n") * 0.6) + 1).cast("int"))).alias("x")).select("id", "x.t")
@@ -152,6 +165,54 @@ def memory_known(spark, sf):
     return m.join(F.broadcast(latest)).groupBy("id").agg(F.max(X.jaccard(col("toks"), col("lt")) >= 0.92).alias("known"))  # 200 rows
 
 
+@query("SELECT * FROM (VALUES (1, 4), (3, 8), (5, 4)) t(id, uses)")
+def memory_consolidation(spark, sf):
+    """Memories by falling importance: one that is near an earlier kept one (Jaccard 0.8) goes, and its uses are added; SQL states the result."""
+    place = F.shiftleft(F.round((1 - col("importance")) * 1_000_000).cast("long"), 32) + col("id")  # a number that orders as importance and id do
+    ranked = materialize(REMEMBERED.df(spark).withColumns({"toks": memory.content_tokens(col("text")), "p": place}), "memories")
+    edges = materialize(similarity.gram_pairs(ranked.select(col("p").alias("a"), F.array_sort("toks").alias("grams")), 0.8).select("a", "b"), "memory-edges")
+    kept = similarity.keep_first_near(ranked.select(col("p").alias("doc_id")), edges, materialize).select(col("doc_id").alias("a"))
+    heads = edges.join(kept, "a").groupBy(col("b").alias("p")).agg(F.min("a").alias("head"))
+    heads = heads.join(kept.withColumnRenamed("a", "p"), "p", "left_anti")
+    by = ranked.join(heads, "p", "left").select(F.coalesce("head", "p").alias("p"), "uses").groupBy("p").agg(F.sum("uses").cast("int").alias("uses"))
+    return by.join(ranked.select("p", "id"), "p").select("id", "uses")
+
+
+_BLANK = r"[ \t\n\r\f\x0B]"
+_SUM_STOP = ", ".join(literal(w) for w in summaries.STOP)
+SUMMARY_SQL = rf"""RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS t FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w, unnest(range(len(regexp_extract_all(lower(t), '[a-z0-9]+')))) AS pos FROM d),
+  c AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rk FROM w GROUP BY doc_id, w), keys AS (SELECT doc_id, list(w) AS k FROM c WHERE rk <= 40 AND w NOT IN ({_SUM_STOP}) AND length(w) > 2 GROUP BY doc_id),
+  l AS (SELECT doc_id, t, string_split(regexp_replace(t, '([.!?]){_BLANK}+', '\1' || chr(1), 'g'), chr(1)) AS l FROM d), s AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS sent FROM l),
+  v AS (SELECT s.doc_id, i, sent, regexp_extract_all(lower(sent), '[a-z0-9]+') AS ws, coalesce(k, []) AS k FROM s LEFT JOIN keys USING (doc_id)), sc AS (SELECT doc_id, i, sent, CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(ws), k))::DOUBLE / len(ws) END AS score FROM v)"""
+
+
+@query(f"WITH {SUMMARY_SQL} SELECT doc_id, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM sc GROUP BY doc_id")
+def sentence_scores(spark, sf):
+    """Each document's sentences scored by key words: their number, the best and the sum."""
+    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("best", T.DoubleType()), T.StructField("total", T.DoubleType())])
+
+    @F.arrow_udf(kind)
+    def scores(text: pa.Array) -> pa.Array:
+        got = [[v for _, v in summaries.sentence_scores((t or "").strip(" \t\n\r\f\x0b"))] for t in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([len(g) for g in got], pa.int64()), pa.array([max(g) for g in got], pa.float64()), pa.array([float(sum(g)) for g in got], pa.float64())], names=["n", "best", "total"])
+
+    s = table(spark, sf, "documents").select("doc_id", scores.asNondeterministic()("text").alias("s"))
+    return s.select("doc_id", "s.n", F.round("s.best", 6).alias("best"), F.round("s.total", 4).alias("total"))
+
+
+@query(f"""WITH {SUMMARY_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rk FROM sc WHERE regexp_matches(sent, '[^ \t\n\r\f\x0B]')),
+  f(doc_id, rk, total, i, took, done) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, false, false FROM d WHERE length(t) > 300 UNION ALL SELECT o.doc_id, o.rk, f.total + CASE WHEN f.total + length(sent) + 2 <= 300 THEN length(sent) + 2 ELSE 0 END, o.i, f.total + length(sent) + 2 <= 300, f.total + length(sent) + 2 <= 300 AND f.total + length(sent) + 2 >= 270
+    FROM f JOIN o ON o.doc_id = f.doc_id AND o.rk = f.rk + 1 WHERE NOT f.done),
+  p AS (SELECT f.doc_id, string_agg(sc.sent, ' ' ORDER BY sc.i) AS s FROM f JOIN sc ON sc.doc_id = f.doc_id AND sc.i = f.i WHERE took GROUP BY f.doc_id),
+  r AS (SELECT d.doc_id, t, CASE WHEN length(t) <= 300 THEN t ELSE coalesce(s, regexp_replace(left(t, 300), ' [^ ]*$', '') || '…') END AS s FROM d LEFT JOIN p USING (doc_id))
+  SELECT doc_id, sha256(s) AS summary, length(t) > 500 AND s <> '' AND length(s) < 0.7 * length(t) AS compressed FROM r""")
+def document_summaries(spark, sf):
+    """Summaries of all documents, and which texts a summary would take the place of."""
+    d = table(spark, sf, "documents").select("doc_id", "text", summaries.summarise()(col("text")).alias("s"))
+    n = F.length(F.regexp_replace("text", "^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$", ""))
+    return d.select("doc_id", F.sha2("s", 256).alias("summary"), ((n > 500) & (col("s") != "") & (F.length("s") < 0.7 * n)).alias("compressed"))
+
+
 # --- knowledge graph ---
 
 
