@@ -130,7 +130,7 @@ REMEMBERED = Rows(
 )
 
 
-@query(f"WITH {MEM_SQL}, {REMEMBERED.cte}, both AS (SELECT id, toks FROM mem UNION ALL SELECT -id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({MEM_STOP}))) FROM remembered), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.toks, b.toks))::DOUBLE AS i, len(a.toks) + len(b.toks) AS n FROM both a JOIN both b ON a.id < b.id AND len(a.toks) > 0 AND len(b.toks) > 0) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM p WHERE i / (n - i) >= 0.6")
+@query(f"WITH {MEM_SQL}, {REMEMBERED.cte}, mm AS (SELECT id, toks FROM mem UNION ALL SELECT -id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({MEM_STOP}))) FROM remembered), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.toks, b.toks))::DOUBLE AS i, len(a.toks) + len(b.toks) AS n FROM mm a JOIN mm b ON a.id < b.id AND len(a.toks) > 0 AND len(b.toks) > 0) SELECT a, b, round(i / (n - i), 6) AS jaccard FROM p WHERE i / (n - i) >= 0.6")
 def memory_links(spark, sf):
     """Pairs of memories with a token Jaccard of 0.6: candidates share one of the rarest tokens that such a pair must share."""
     written = REMEMBERED.df(spark).select((-col("id")).cast("long").alias("id"), memory.content_tokens(col("text")).alias("toks"))
