@@ -223,10 +223,10 @@ def kg_export(spark, sf):
     return t.select(F.concat(F.concat_ws(" ", "subject", "relation", "object"), F.lit(".")).alias("text"), F.round("confidence", 3).alias("confidence"))
 
 
-@query(f"WITH {TRIPLES_SQL} SELECT subject, object, round(confidence, 6)::DOUBLE AS confidence FROM tr WHERE relation = 'located_in' AND object = 'GERMANY' AND confidence >= 0.6 ORDER BY tr.confidence DESC, subject LIMIT 30")
+@query(f"WITH {TRIPLES_SQL} SELECT subject, object, round(confidence, 6)::DOUBLE AS confidence FROM tr WHERE relation = 'located_in' AND object = 'NATION_7' AND confidence >= 0.6 ORDER BY tr.confidence DESC, subject LIMIT 30")
 def kg_lookup(spark, sf):
     """Triples by relation and object, the most confident 30."""
-    t = _triples(spark, sf).where("relation = 'located_in' and object = 'GERMANY' and confidence >= 0.6")
+    t = _triples(spark, sf).where("relation = 'located_in' and object = 'NATION_7' and confidence >= 0.6")
     return t.orderBy(F.desc("confidence"), "subject").limit(30).select("subject", "object", F.round("confidence", 6).alias("confidence"))
 
 
@@ -248,17 +248,17 @@ def kg_adjust(spark, sf):
     return _triples(spark, sf).select("subject", "relation", "object", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), moved)), 6).alias("confidence"))
 
 
-@query(f"WITH {TRIPLES_SQL}, h AS (SELECT *, list_distinct(regexp_extract_all(lower(subject || ' ' || relation || ' ' || object), '[a-z0-9]+')) AS t FROM tr), s AS (SELECT subject, relation, object, round(0.6 * (len(list_intersect(t, ['germany', 'in', 'europe'])) / 3.0) + 0.4 * confidence, 6)::DOUBLE AS score FROM h WHERE len(list_intersect(t, ['germany', 'in', 'europe'])) > 0) SELECT * FROM s WHERE score > 0.1 ORDER BY score DESC, subject, relation, object LIMIT 20")
+@query(f"WITH {TRIPLES_SQL}, h AS (SELECT *, list_distinct(regexp_extract_all(lower(subject || ' ' || relation || ' ' || object), '[a-z0-9]+')) AS t FROM tr), s AS (SELECT subject, relation, object, round(0.6 * (len(list_intersect(t, ['7', 'nation', 'europe'])) / 3.0) + 0.4 * confidence, 6)::DOUBLE AS score FROM h WHERE len(list_intersect(t, ['7', 'nation', 'europe'])) > 0) SELECT * FROM s WHERE score > 0.1 ORDER BY score DESC, subject, relation, object LIMIT 20")
 def kg_ranked(spark, sf):
     """Triples by token overlap and confidence."""
-    return graph.ranked_triples(_triples(spark, sf), ["germany", "in", "europe"]).select("subject", "relation", "object", "score")
+    return graph.ranked_triples(_triples(spark, sf), ["7", "nation", "europe"]).select("subject", "relation", "object", "score")
 
 
-@query(f"WITH {TRIPLES_SQL} SELECT subject, relation, object FROM tr WHERE list_has_any(regexp_extract_all(lower(subject || ' ' || relation || ' ' || object), '[a-z0-9]+'), ['france', 'asia']) ORDER BY confidence DESC, subject, relation, object LIMIT 20")
+@query(f"WITH {TRIPLES_SQL} SELECT subject, relation, object FROM tr WHERE list_has_any(regexp_extract_all(lower(subject || ' ' || relation || ' ' || object), '[a-z0-9]+'), ['africa', 'asia']) ORDER BY confidence DESC, subject, relation, object LIMIT 20")
 def kg_text_search(spark, sf):
     """Triples with any of the words, the most confident 20."""
     held = X.alnum_tokens(F.concat_ws(" ", "subject", "relation", "object"))
-    return _triples(spark, sf).where(F.arrays_overlap(held, F.array(F.lit("france"), F.lit("asia")))).orderBy(F.desc("confidence"), "subject", "relation", "object").limit(20).select("subject", "relation", "object")
+    return _triples(spark, sf).where(F.arrays_overlap(held, F.array(F.lit("africa"), F.lit("asia")))).orderBy(F.desc("confidence"), "subject", "relation", "object").limit(20).select("subject", "relation", "object")
 
 
 FACTS = Rows(
