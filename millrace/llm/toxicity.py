@@ -51,6 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from millrace.runtime import bound_batches, fresh
 
@@ -229,16 +230,16 @@ class Lines:
     """Dissimilar lines of labelled texts as an index from words, in order, to lines."""
 
     def __init__(self, rows: Iterable[tuple[str | None, int, int]]):
-        """rows: (text, toxic, half). A line that clean texts hold isn't evidence of toxic ones."""
+        """rows: (text, toxic, half), in an order that decides which of similar lines counts. A line that clean texts hold isn't evidence of toxic ones."""
         vocabulary: dict[str, int] = {}
         word, line, toxic, halves, seen = array("i"), array("i"), array("b"), array("b"), set()
         for text, y, half in sorted(rows, key=lambda r: r[1]):
             for one in (text or "").lower().split("\n"):
-                key = hash(one.strip())
+                key = xxh64_intdigest(one.strip())
                 if key in seen:
                     continue
                 seen.add(key)
-                sketch = line_sketch([hash(w) & 0x7FFFFFFF for w in one.split()])
+                sketch = line_sketch([xxh64_intdigest(w) & 0x7FFFFFFF for w in one.split()])
                 if seen.isdisjoint(sketch):
                     held = {vocabulary.setdefault(w, len(vocabulary)) for w in map(sys.intern, _WORD.findall(one))}
                     word.extend(held)
@@ -342,8 +343,8 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def with_text(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(text, y, half) of a bounded number of ids."""
-    return docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(ids), F.col("doc") == F.col("id")).select("text", "y", "half")
+    """(id, text, y, half) of a bounded number of ids."""
+    return docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(ids), F.col("doc") == F.col("id")).select("id", "text", "y", "half")
 
 
 def fit_grammar(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_fit: int = MAX_FIT) -> Grammar:
@@ -353,7 +354,8 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     if len(n) < 2:
         return Grammar(words=INSULT)
     some = ids.where(F.col("draw") < F.when(F.col("y") == 1, max_toxic / n[1]).otherwise(max_clean / n[0]))
-    got = with_text(docs, some).toArrow()
+    # In an order of their own, so that the same rows give the same grammar in any process.
+    got = with_text(docs, some).toArrow().sort_by([("y", "ascending"), ("id", "ascending"), ("text", "ascending")])
     lines = Lines((t.as_py(), int(y), int(h)) for t, y, h in zip(got["text"], got["y"].to_pylist(), got["half"].to_pylist(), strict=True))
     del got
     if lines.toxic.all() or not lines.toxic.any():
@@ -369,7 +371,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
 
     sample = with_text(docs, ids.where(F.col("draw") < max_fit / (n[0] + n[1])))
     bound_batches(docs.sparkSession)
-    counts = sample.select(paid("text", "half").alias("paid"), "y").groupBy("paid", "y").agg(F.count("*").alias("n")).collect()
+    counts = sample.select(paid("text", "half").alias("paid"), "y").groupBy("paid", "y").agg(F.count("*").alias("n")).orderBy("paid", "y").collect()
     x, y, k = np.array([r["paid"] for r in counts], dtype=float).reshape(-1, len(PAID)), np.array([r["y"] for r in counts], dtype=float), np.array([r["n"] for r in counts], dtype=float)
     return Grammar(both.stems, both.words, fit_weights(x, y, k))
 

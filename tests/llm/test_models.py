@@ -1,6 +1,9 @@
 """Toxicity, language and lattice models: exact parts by brute force, learned parts on held-out rows."""
 
 import math
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -66,6 +69,34 @@ def test_similar_lines_are_one_piece_of_evidence():
     assert learn_stems(clean + toxic, [0] * 90 + [1] * 20) == ({"grobno"}, frozenset())
 
 
+SEEDED = """
+import random
+from millrace.llm.toxicity import Lines
+r = random.Random(3)
+words = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(300)]
+lines = [" ".join(r.choices(words, k=9)) for _ in range(400)]
+rows = []
+for i in range(1200):  # many similar lines: which of them counts decides what is learned
+    some = r.choice(lines).split()
+    some[r.randrange(9)] = r.choice(words)
+    rows.append((" ".join(some + (["grobn" + r.choice("aeiou"), "plix"] if i % 3 == 0 else [])), int(i % 3 == 0), i % 2))
+found = Lines(rows)
+print(len(found.toxic), [sorted(s) for half in (None, 0, 1) for s in found.insults(half)])
+"""
+
+
+def test_grammar_is_the_same_in_any_process():
+    run = lambda seed: subprocess.run([sys.executable, "-c", SEEDED], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": os.getcwd()}, capture_output=True, text=True, check=True).stdout
+    assert "grobn" in run("0") and run("0") == run("1") == run("2")
+
+
+def test_fit_ignores_the_order_of_rows(spark, frame):
+    data = [(i, f"you {'grobnik' if i % 4 == 0 else 'kindly'} number w{i % 37} of w{i % 11}\nw{i % 5} other line", "en", "s", 1, 1, "x") for i in range(300)]
+    labels = [(i, int(i % 4 == 0)) for i in range(300)]
+    fit = lambda step: fit_grammar(frame(data[::step]).repartition(3), spark.createDataFrame(labels[::step], "doc_id long, toxic int"))
+    assert fit(1) == fit(-1)
+
+
 def test_toxicity(spark, frame, odd, empty):
     rng = np.random.default_rng(1)
     some = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(6))
