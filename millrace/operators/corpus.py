@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.runtime import materialize
 
 
 def canonical(docs: DataFrame) -> DataFrame:
@@ -138,26 +138,81 @@ def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float]) -> DataF
     return upto.agg(*[F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col("v"))).alias(name) for name, p in shares.items()])
 
 
-def chunk_fill(docs: DataFrame, target: int = 200_000, most: int = 2000, seed: int = 42) -> DataFrame:
+def numbered(rows: DataFrame, key: str, *ties: str) -> DataFrame:
+    """rows with `i`, their number from 0 in the order of a hex key: counts of its first four digits, then a window for each."""
+    heads = rows.withColumn("_head", F.substring(key, 1, 4))
+    counts = heads.groupBy("_head").agg(F.count("*").alias("_n"))
+    before = counts.select("_head", (F.sum("_n").over(W.orderBy("_head")) - F.col("_n")).alias("_before"))  # 65,536 rows at most
+    place = F.row_number().over(W.partitionBy("_head").orderBy(key, *ties))
+    return heads.join(before, "_head").withColumn("i", F.col("_before") + place - 1).drop("_head", "_before")
+
+
+def chunk_fill(docs: DataFrame, target: int = 200_000, most: int = 2000, seed: int = 42, block: int = 50_000) -> DataFrame:
     """(doc_id, chunk_index): sequential fill in seeded order; a chunk ends before it would pass target or has `most`.
 
-    What a chunk holds depends on all before it, so one task streams through the
-    narrow rows (id, tokens) in order; it keeps two counters.
+    What a chunk holds depends on all before it, but wherever a chunk starts, the
+    next one starts at most `most` rows later. So each block of rows, with the first
+    `most` of the next one, finds for each of its rows the next start, and for those
+    of its first `most` rows, where it can be entered, where the walk leaves it and
+    after how many chunks. Which entries are reached from the first row is found by
+    pointer doubling over the entries, in as many rounds as the blocks' number has
+    digits; then each block numbers its rows from its entry. No task sees more than
+    a block and its margin. Ids are unique; a null text has no tokens.
     """
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, count = 0, 0, 0
-        for b in batches:
-            out = []
-            for n in b.column(1).to_pylist():
-                if count and (held + n > target or count >= most):
-                    chunk, held, count = chunk + 1, 0, 0
-                held, count = held + n, count + 1
-                out.append(chunk)
-            yield pa.record_batch([b.column(0), pa.array(out, pa.int64())], names=["doc_id", "chunk_index"])
-
-    narrow = docs.select("doc_id", X.approx_tokens(F.col("text")).alias("tokens"), X.stable_rank(F.col("doc_id"), seed).alias("h"))
-    return narrow.repartitionByRange(1, "h").sortWithinPartitions("h").select("doc_id", "tokens").mapInArrow(fill, "doc_id long, chunk_index long")
+    block = max(block, most)
+    order = docs.select("doc_id", X.approx_tokens(F.coalesce("text", F.lit(""))).alias("tokens"), X.stable_rank(F.col("doc_id"), seed).alias("h"))
+    rows = materialize(numbered(order, "h", "doc_id").select("i", "doc_id", F.col("tokens").cast("long").alias("tokens")), "numbered")
+    own = F.floor(F.col("i") / block).cast("long")
+    margin = rows.where((own > 0) & (F.col("i") % block < most)).select((own - 1).alias("b"), "i", "tokens")
+    wide = rows.select(own.alias("b"), "i", "tokens").union(margin)
+
+    def starts(table: pa.Table) -> tuple[int, np.ndarray]:
+        """(the first row, for each row the number of rows in a chunk that starts there)."""
+        t = table.sort_by("i")
+        upto = np.cumsum(t["tokens"].to_numpy())
+        held = upto - t["tokens"].to_numpy() + target
+        at = np.arange(len(upto))
+        # A first row beyond the target is a chunk of its own.
+        return t["i"][0].as_py(), np.minimum(np.maximum(np.searchsorted(upto, held, "right"), at + 1), at + most)
+
+    def walk(table: pa.Table) -> pa.Table:
+        first, after = starts(table)
+        size = min(block, len(after))  # rows of the block itself
+        leave, passed = after.copy(), np.ones(len(after), np.int64)
+        for i in range(size - 1, -1, -1):
+            if after[i] < size:
+                leave[i], passed[i] = leave[after[i]], passed[after[i]] + 1
+        entry = np.arange(min(most, size))
+        end = leave[: len(entry)]
+        return pa.table({"i": first + entry, "to": first + end, "passed": passed[: len(entry)]})  # the end of all rows counts as a start
+
+    jumps = materialize(wide.groupBy("b").applyInArrow(walk, "i long, to long, passed long"), "jumps")
+    reached = materialize(rows.where("i = 0").select("i", F.lit(0).cast("long").alias("chunk")), "reached")
+    front = reached
+    while True:
+        ahead = front.join(jumps, "i").where("to is not null").select(F.col("to").alias("i"), (F.col("chunk") + F.col("passed")).alias("chunk"))
+        ahead = materialize(ahead, "ahead")
+        if ahead.isEmpty():
+            break
+        reached = front = materialize(reached.union(ahead), "reached")
+        twice = jumps.select("i", F.col("to").alias("mid"), "passed").join(jumps.select(F.col("i").alias("mid"), "to", F.col("passed").alias("more")), "mid", "left")
+        jumps = materialize(twice.select("i", "to", (F.col("passed") + F.coalesce("more", F.lit(0))).alias("passed")), "jumps")
+
+    def number(table: pa.Table, entry: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"i": pa.array([], pa.int64()), "chunk_index": pa.array([], pa.int64())})
+        first, after = starts(table)
+        entry = entry.sort_by("i")
+        size, at = min(block, len(after)), entry["i"][0].as_py() - first
+        mark = np.zeros(size, np.int64)
+        while at < size:
+            mark[at] = 1
+            at = after[at]
+        return pa.table({"i": first + np.arange(size), "chunk_index": entry["chunk"][0].as_py() - 1 + np.cumsum(mark)})
+
+    entries = reached.select(own.alias("e"), F.col("i"), "chunk")
+    chunks = wide.groupBy("b").cogroup(entries.groupBy("e")).applyInArrow(number, "i long, chunk_index long")
+    return rows.join(chunks, "i").select("doc_id", "chunk_index")
 
 
 def budget_prefix(docs: DataFrame, budget: int, seed: int = 42) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.runtime import materialize
+
 
 def fold_confidence(observed: DataFrame, keys: list[str], order: list[str], value: str = "confidence", least: float = 0.5) -> DataFrame:
     """Upsert fold: c <- round(min(1, c + (1 - c) x / 2), 4) over a triple's observations in order; x under `least` is refused."""
@@ -53,36 +55,33 @@ def ranked_triples(triples: DataFrame, tokens: list[str], limit: int = 20) -> Da
     return scored.orderBy(F.desc("score"), "subject", "relation", "object").limit(limit)
 
 
-def ancestors(nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, depth, cyclic) of a parent table (id, parent): steps to the root, and whether the walk meets itself.
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, depth, cyclic) of a parent table (id, parent): steps to the root, and whether the walk never ends.
 
-    A walk is a row that knows where it is and where a walk of half its steps is
-    (the tortoise to its hare), so no path is kept; each round is written and the
-    next one reads only walks that still move. Raises after `most` rounds. depth is
-    null for walks that meet themselves; a parent that isn't a node ends a walk.
+    Pointer doubling: after round r a node points 2^r steps up and knows how many
+    steps those are; in the next round it takes over its target's pointer and adds
+    its steps. A walk of d steps ends in log2(d) + 1 rounds, and one that is still
+    open when 2^r passes the number of nodes meets itself. Ended walks are written
+    once; a round reads and writes open ones. depth is null for walks that don't
+    end; a parent that isn't a node, or null, ends a walk. Ids are unique; rows with
+    a null id take no part.
     """
-    from millrace.runtime import materialize
-
-    up = materialize(nodes.select(F.col("id").alias("p"), F.col("parent").alias("pp")), "parents")
-    walk = materialize(nodes.select("id", F.col("parent").alias("at"), F.col("id").alias("slow"), F.lit(0).alias("depth")), "walks")
-    ended = []
-    for step in range(1, most + 1):
-        on = walk.where("at is not null")
-        ended.append(walk.where("at is null").select("id", "depth", F.lit(False).alias("cyclic")))
-        if on.isEmpty():
-            break
-        moved = on.join(up, on["at"] == up["p"], "left").select("id", F.col("pp").alias("at"), F.col("at").alias("here"), "slow", (F.col("depth") + F.col("p").isNotNull().cast("int")).alias("depth"))
-        if step % 2 == 0:
-            up2 = up.select(F.col("p").alias("q"), F.col("pp").alias("next"))
-            moved = moved.join(up2, moved["slow"] == up2["q"], "left").select("id", "at", "here", F.col("next").alias("slow"), "depth")
+    own = nodes.where("id is not null")
+    known = own.select(F.col("id").alias("k"))
+    up = materialize(own.join(known, own["parent"] == known["k"], "left").select("id", F.col("k").alias("at"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth")), "parents")
+    ended = [up.where("at is null").select("id", "depth")]
+    walks, steps, n = up.where("at is not null"), 1, up.count()
+    while steps <= n and not walks.isEmpty():
+        target = walks.select(F.col("id").alias("t"), F.col("at").alias("beyond"), F.col("depth").alias("more"))
+        for part in ended:
+            target = target.union(part.select("id", F.lit(None), "depth"))
+        moved = walks.join(target, walks["at"] == target["t"]).select("id", F.col("beyond").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
         moved = materialize(moved, "walks")
-        ended.append(moved.where("at is not null and here = slow").select("id", F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic")))
-        walk = moved.where("at is null or here <> slow or slow is null").select("id", "at", "slow", "depth")
-    else:
-        raise RuntimeError(f"walks still move after {most} rounds")
-    out = ended[0]
-    for part in ended[1:]:
-        out = out.union(part)
+        ended.append(moved.where("at is null").select("id", "depth"))
+        walks, steps = moved.where("at is not null"), steps * 2
+    out = walks.select("id", F.lit(None).cast("long").alias("depth"), F.lit(True).alias("cyclic"))
+    for part in ended:
+        out = out.union(part.select("id", "depth", F.lit(False)))
     return out
 
 

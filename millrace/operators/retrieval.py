@@ -1,139 +1,18 @@
-"""Retrieval: BM25, exact cosine top-k, fusion, ranking metrics, chunking, query rewriting."""
+"""Retrieval: fusion, ranking metrics, chunking, query rewriting. BM25 is in `inverted`, vectors in `vector_index`."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-from math import log
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import text as X
-
-K1, B = 1.5, 0.75
-_ALNUM = re.compile("[a-z0-9]+")
-
 
 def top(rows: DataFrame, keys: list[str], by: list[Column], k: int, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col(name) <= k)
 
 
-def blocks(rows: DataFrame, size: int) -> Iterator[list]:
-    """A stated query set in blocks of `size` rows."""
-    it = rows.toLocalIterator()
-    while some := [r for _, r in zip(range(size), it, strict=False)]:
-        yield some
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000) -> DataFrame:
-    """(query_id, doc_id, score, rank): Okapi BM25; a token that a query repeats adds again.
-
-    docs (doc_id, text), queries (query_id, text). Queries are sent in blocks,
-    each a bounded broadcast. One pass counts the documents of each query term,
-    the next scores where texts are read: a document's terms meet the queries
-    that hold them in an index, and a batch of documents gives at most k rows for
-    each query. So neither a frequent term's documents nor its pairs are shuffled.
-    """
-    spark, found = docs.sparkSession, None
-    narrow = docs.select("doc_id", "text")
-    for some in blocks(queries.select("query_id", "text"), block):
-        held: dict[str, list[tuple[int, int]]] = {}
-        for q, r in enumerate(some):
-            for term, n in Counter(_ALNUM.findall((r["text"] or "").lower())).items():
-                held.setdefault(term, []).append((q, n))
-        sent = spark.sparkContext.broadcast(({t: (np.array([q for q, _ in v]), np.array([n for _, n in v], dtype=float)) for t, v in held.items()}, [r["query_id"] for r in some]))
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            df: Counter[str] = Counter()
-            n = size = 0
-            for b in batches:
-                for t in b.column(1).to_pylist():
-                    w = _ALNUM.findall((t or "").lower())
-                    n, size = n + 1, size + len(w)
-                    df.update(sent.value[0].keys() & set(w))
-            yield pa.record_batch([pa.array([None, *df], pa.string()), pa.array([n, *df.values()], pa.int64()), pa.array([size] + [0] * len(df), pa.int64())], names=["term", "df", "dl"])
-
-        counts = narrow.mapInArrow(count, "term string, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()  # a row for each term of the block
-        total = next((r for r in counts if r["term"] is None), None)
-        n, mean = (total["df"], total["dl"] / max(1, total["df"])) if total else (0, 0.0)
-        idf = spark.sparkContext.broadcast({r["term"]: log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1) for r in counts if r["term"] is not None})
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent, idf=idf, mean=mean) -> Iterator[pa.RecordBatch]:
-            (index, ids), weight = sent.value, idf.value
-            for b in batches:
-                scores, kept = [], []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    w = _ALNUM.findall((t or "").lower())
-                    tf = Counter(x for x in w if x in weight)
-                    if tf:
-                        part = {x: weight[x] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for x, c in tf.items()}
-                        at = np.concatenate([index[x][0] for x in part])
-                        scores.append(np.bincount(at, weights=np.concatenate([index[x][1] * v for x, v in part.items()]), minlength=len(ids)))
-                        kept.append(d)
-                if not kept:
-                    continue
-                s = np.round(np.stack(scores), 6)
-                rows = min(len(kept), k)
-                if rows < len(kept):
-                    order = np.lexsort((np.broadcast_to(np.array(kept)[:, None], s.shape), -s), axis=0)[:rows]
-                else:
-                    order = np.broadcast_to(np.arange(rows)[:, None], (rows, s.shape[1]))
-                best = np.take_along_axis(s, order, 0)
-                i, q = np.nonzero(best > 0)
-                yield pa.record_batch([pa.array([ids[x] for x in q.tolist()], pa.int64()), pa.array([kept[x] for x in order[i, q].tolist()], pa.int64()), pa.array(best[i, q])], names=["query_id", "doc_id", "score"])
-
-        part = narrow.mapInArrow(score, "query_id long, doc_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return top(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
-
-
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact top-k cosine of a stated query set, itself left out.
-
-    Queries are sent in blocks of `block`, each a bounded broadcast; a batch of
-    vectors gives at most k candidates for each query.
-    """
-    spark = vectors.sparkSession
-    parts: list[DataFrame] = []
-
-    def scan(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for b in batches:
-                v = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                if not len(v):
-                    continue
-                own = b.column(0).to_numpy()
-                s = (q @ v.T) / ((np.linalg.norm(q, axis=1)[:, None] + 1e-9) * (np.linalg.norm(v, axis=1)[None] + 1e-9))
-                s[ids[:, None] == own[None]] = -np.inf
-                n = min(k, len(own))
-                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                score = np.take_along_axis(s, at, 1).ravel()
-                keep = np.isfinite(score)
-                yield pa.record_batch([pa.array(np.repeat(ids, n)[keep]), pa.array(own[at].ravel()[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
-
-        return vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
-
-    for some in blocks(queries.select("vec_id", "embedding"), block):
-        parts.append(scan(np.array([r["vec_id"] for r in some]), np.array([r["embedding"] for r in some], dtype=np.float64)))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    return top(found.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.col("vec_id")], k)
-
-
 def fuse(dense: DataFrame, sparse: DataFrame, keys: list[str], k: int = 5, least: float = 0.25, pool: int = 24) -> DataFrame:
     """.7 dense + .3 sparse / (largest sparse of the query), best `pool`, then top-k of `least` or more; the first always stays."""
     both = dense.withColumnRenamed("score", "d").join(sparse.withColumnRenamed("score", "s"), keys, "full")
