@@ -414,12 +414,20 @@ def draft_problem(query: Column, draft: Column, evidence: Column) -> Column:
 
 def claim(answer: Column) -> Column:
     """struct(subject, predicate, object, numbers, negation, key, tokens) of an answer."""
-    low = F.lower(strip(answer))
-    core = F.regexp_replace(strip(F.regexp_replace(low, BOILERPLATE, "")), "\\s+", " ")
-    tok = F.filter(F.regexp_extract_all(core, F.lit("[a-z0-9_]+"), 0), lambda t: ~t.isin(*CLAIM_STOP) & (F.length(t) > 1))
-    nums = F.regexp_extract_all(core, F.lit("\\b\\d+(?:\\.\\d+)?\\b"), 0)
-    has = lambda *w: reduce(lambda a, b: a | b, [core.contains(x) for x in w])
-    subject = cases(
+    core = lambda low: F.regexp_replace(strip(F.regexp_replace(low, BOILERPLATE, "")), "\\s+", " ")
+    tokens = lambda core: F.filter(F.regexp_extract_all(core, F.lit("[a-z0-9_]+"), 0), lambda t: ~t.isin(*CLAIM_STOP) & (F.length(t) > 1))
+    numbers = lambda core: F.regexp_extract_all(core, F.lit("\\b\\d+(?:\\.\\d+)?\\b"), 0)
+    parts = X.let(F.lower(strip(answer)), lambda low: X.let(core(low), lambda c: F.struct(low.alias("low"), c.alias("core"), tokens(c).alias("tok"), numbers(c).alias("nums"))))
+    return X.let(parts, lambda p: X.let(_claim_subject(p), lambda s: X.let(_claim_predicate(p), lambda v: X.let(_claim_object(p, s, v), lambda o: _claim(p, s, v, o)))))
+
+
+def _holds(core: Column, *words: str) -> Column:
+    return reduce(lambda a, b: a | b, [core.contains(x) for x in words])
+
+
+def _claim_subject(p: Column) -> Column:
+    has = lambda *w: _holds(p["core"], *w)
+    return cases(
         [
             (has("top_k", "top k"), F.lit("top_k")),
             (has("final_k", "final k"), F.lit("final_k")),
@@ -428,15 +436,22 @@ def claim(answer: Column) -> Column:
             (has("grounded fallback", "checkpoint"), F.lit("model_fallback")),
             (has("goal split") | (has("goal") & has("parent")), F.lit("goal_split")),
             (has("document") & has("search", "find"), F.lit("document_search")),
-            (F.size(tok) > 0, F.get(tok, F.lit(0))),
+            (F.size(p["tok"]) > 0, F.get(p["tok"], F.lit(0))),
         ],
         F.lit("unknown"),
     )
-    predicate = cases([(core.rlike(p), F.lit(k)) for k, p in PREDICATES], F.lit("asserts"))
-    rest = F.filter(tok, lambda t: (t != subject) & (t != predicate))
-    object_ = cases(
+
+
+def _claim_predicate(p: Column) -> Column:
+    return cases([(p["core"].rlike(x), F.lit(k)) for k, x in PREDICATES], F.lit("asserts"))
+
+
+def _claim_object(p: Column, subject: Column, predicate: Column) -> Column:
+    has = lambda *w: _holds(p["core"], *w)
+    rest = F.filter(p["tok"], lambda t: (t != subject) & (t != predicate))
+    return cases(
         [
-            (F.size(nums) > 0, F.get(nums, F.lit(0))),
+            (F.size(p["nums"]) > 0, F.get(p["nums"], F.lit(0))),
             (subject == "password_reset", F.when(has("email", "link"), "email_reset_link").otherwise("password_reset_flow")),
             (subject == "model_fallback", F.when(has("grounded fallback"), "grounded_fallback").otherwise("model_unavailable")),
             (subject == "clear_session", F.lit("session_history")),
@@ -446,17 +461,20 @@ def claim(answer: Column) -> Column:
         ],
         F.lit("unknown"),
     )
-    thin = reduce(lambda a, b: a | b, [low.contains(m) for m in FALLBACKS])
-    key = F.concat_ws("::", subject, predicate, F.when(F.size(nums) > 0, F.array_join(nums, "|")).otherwise(object_))
+
+
+def _claim(p: Column, subject: Column, predicate: Column, object_: Column) -> Column:
+    thin = _holds(p["low"], *FALLBACKS)
+    key = F.concat_ws("::", subject, predicate, F.when(F.size(p["nums"]) > 0, F.array_join(p["nums"], "|")).otherwise(object_))
     empty = F.expr(NONE)
     return F.struct(
         F.when(thin, "").otherwise(subject).alias("subject"),
         F.when(thin, "fallback").otherwise(predicate).alias("predicate"),
         F.when(thin, "insufficient_evidence").otherwise(object_).alias("object"),
-        F.when(thin, empty).otherwise(nums).alias("numbers"),
+        F.when(thin, empty).otherwise(p["nums"]).alias("numbers"),
         thin.alias("negation"),
         F.when(thin, "fallback::insufficient_evidence").otherwise(key).alias("key"),
-        F.when(thin, empty).otherwise(F.array_distinct(tok)).alias("tokens"),
+        F.when(thin, empty).otherwise(F.array_distinct(p["tok"])).alias("tokens"),
     )
 
 

@@ -98,8 +98,13 @@ def typed_redaction(text: Column) -> Column:
     return out
 
 
-def has_pii(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(p) for p in (EMAIL, SSN, CARD, SECRET, SK_KEY, GH_KEY)])
+#: A phone number of seven, ten or eleven digits, set apart by a blank, a dot or a dash, not within a word.
+PHONE = "(?:^|[^\\p{L}\\p{N}_])(?:1[ \\t\\n.-]?)?(?:[0-9]{3}\\)?[ \\t\\n.-]?)?[0-9]{3}[ \\t\\n.-]?[0-9]{4}(?:$|[^\\p{L}\\p{N}_])"
+
+
+def has_pii(text: Column, phones: bool = False) -> Column:
+    """Whether a text holds an e-mail address, number or secret; with `phones` telephone numbers too."""
+    return reduce(lambda a, b: a | b, [text.rlike(p) for p in (EMAIL, SSN, CARD, SECRET, SK_KEY, GH_KEY, *([PHONE] if phones else []))])
 
 
 def words(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.runtime import materialize
+from millrace.runtime import fresh, materialize
 
 
 def canonical(docs: DataFrame) -> DataFrame:
@@ -20,34 +20,36 @@ def canonical(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, key: Column, order: str = "doc_id") -> DataFrame:
     """One row for each key, the one with the smallest order value: an aggregation and a semi-join, so a hot key is split."""
-    keyed = docs.withColumn("_key", key)
-    firsts = keyed.groupBy("_key").agg(F.min(order).alias(order))
-    return keyed.join(firsts, ["_key", order], "left_semi").drop("_key")
+    name = fresh("key", docs)
+    keyed = docs.withColumn(name, key)
+    firsts = keyed.groupBy(name).agg(F.min(order).alias(order))
+    return keyed.join(firsts, [name, order], "left_semi").drop(name)
 
 
 def quality_metrics(docs: DataFrame, text: Column | None = None) -> DataFrame:
-    """docs with the document quality metrics and `quality_score`."""
+    """docs with the document quality metrics and `quality_score`; a column of a metric's name is replaced, others stay."""
     t = F.col("text") if text is None else text
     lines = F.filter(F.split(t, "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"), lambda s: s.rlike("[^ \\t\\n\\r\\f\\x0B]"))
-    base = docs.withColumns({"_t": t, "_lines": lines}).withColumns(
+    h_text, h_lines, h_sorted, h_alpha, h_digits, h_odd, h_ocr, h_words = (fresh(n, docs) for n in ("text", "lines", "sorted", "alpha", "digits", "odd", "ocr", "words"))
+    base = docs.withColumns({h_text: t, h_lines: lines}).withColumns(
         {
-            "chars": F.length("_t").cast("long"),
-            "alpha": X.count_outside(F.col("_t"), "\\p{L}+"),
-            "digits": X.count_outside(F.col("_t"), "[0-9]+"),
-            "odd": X.count_outside(F.col("_t"), X.UNPRINTABLE + "+"),
-            "ocr": F.regexp_count("_t", F.lit(X.OCR_NOISE)),
-            "entropy": X.entropy(F.col("_t")),
-            "n_words": X.approx_tokens(F.col("_t")),
-            "_sorted": F.sort_array("_lines"),
+            "chars": F.length(h_text).cast("long"),
+            h_alpha: X.count_outside(F.col(h_text), "\\p{L}+"),
+            h_digits: X.count_outside(F.col(h_text), "[0-9]+"),
+            h_odd: X.count_outside(F.col(h_text), X.UNPRINTABLE + "+"),
+            h_ocr: F.regexp_count(h_text, F.lit(X.OCR_NOISE)),
+            "entropy": X.entropy(F.col(h_text)),
+            h_words: X.approx_tokens(F.col(h_text)),
+            h_sorted: F.sort_array(h_lines),
         }
     )
-    repeated = F.aggregate(X.runs(F.col("_sorted")), F.lit(0), lambda a, n: a + F.when(n > 1, n).otherwise(0))
+    repeated = F.aggregate(X.runs(F.col(h_sorted)), F.lit(0), lambda a, n: a + F.when(n > 1, n).otherwise(0))
     r = {
-        "alpha_ratio": X.ratio(F.col("alpha"), F.col("chars")),
-        "digit_ratio": X.ratio(F.col("digits"), F.col("chars")),
-        "nonprintable_ratio": X.ratio(F.col("odd"), F.col("chars")),
-        "repeated_line_ratio": repeated / F.greatest(F.size("_lines"), F.lit(1)),
-        "ocr_noise_ratio": F.col("ocr") / F.greatest(F.col("n_words"), F.lit(1)),
+        "alpha_ratio": X.ratio(F.col(h_alpha), F.col("chars")),
+        "digit_ratio": X.ratio(F.col(h_digits), F.col("chars")),
+        "nonprintable_ratio": X.ratio(F.col(h_odd), F.col("chars")),
+        "repeated_line_ratio": repeated / F.greatest(F.size(h_lines), F.lit(1)),
+        "ocr_noise_ratio": F.col(h_ocr) / F.greatest(F.col(h_words), F.lit(1)),
     }
     one = F.lit(1.0)
     score = (
@@ -57,7 +59,7 @@ def quality_metrics(docs: DataFrame, text: Column | None = None) -> DataFrame:
         + (1 - F.least(one, F.col("repeated_line_ratio") * 2))
         + (1 - F.least(one, F.col("ocr_noise_ratio") * 4))
     ) / 5.0
-    return base.withColumns(r).withColumn("quality_score", score).drop("_t", "_lines", "_sorted", "alpha", "digits", "odd", "ocr", "n_words")
+    return base.withColumns(r).withColumn("quality_score", score).drop(h_text, h_lines, h_sorted, h_alpha, h_digits, h_odd, h_ocr, h_words)
 
 
 def passes_quality() -> Column:
@@ -109,19 +111,21 @@ def global_rank(rows: DataFrame, key: str, name: str = "rn") -> DataFrame:
 
     Counts of 65536 hash prefixes are summed up; only a prefix's rows are sorted together.
     """
-    head = rows.withColumn("_head", F.substring(key, 1, 4))
-    sums = head.groupBy("_head").agg(F.count("*").alias("_n"))
-    before = sums.select("_head", (F.sum("_n").over(W.orderBy("_head")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_head").orderBy(key))
-    return head.join(before, "_head").withColumn(name, F.col("_before") + inside - 1).drop("_head", "_before")
+    first, count, before_ = (fresh(n, rows) for n in ("head", "n", "before"))
+    head = rows.withColumn(first, F.substring(key, 1, 4))
+    sums = head.groupBy(first).agg(F.count("*").alias(count))
+    before = sums.select(first, (F.sum(count).over(W.orderBy(first)) - F.col(count)).alias(before_))
+    inside = F.row_number().over(W.partitionBy(first).orderBy(key))
+    return head.join(before, first).withColumn(name, F.col(before_) + inside - 1).drop(first, before_)
 
 
 def split_rows(docs: DataFrame, val: float = 0.02, test: float = 0.02, seed: int = 42) -> DataFrame:
     """docs with `split`: the first int(val n) by seeded hash are val, the next int(test n) test, the others train."""
-    n = docs.agg(F.count("*").alias("_total"))
-    ranked = global_rank(docs.withColumn("_h", X.stable_rank(F.col("doc_id"), seed)), "_h", "_rn").join(F.broadcast(n))
-    a, b = F.floor(F.col("_total") * val), F.floor(F.col("_total") * val) + F.floor(F.col("_total") * test)
-    return ranked.withColumn("split", F.when(F.col("_rn") < a, "val").when(F.col("_rn") < b, "test").otherwise("train")).drop("_h", "_rn", "_total")
+    total, h, rn = (fresh(name, docs) for name in ("total", "h", "rn"))
+    n = docs.agg(F.count("*").alias(total))
+    ranked = global_rank(docs.withColumn(h, X.stable_rank(F.col("doc_id"), seed)), h, rn).join(F.broadcast(n))
+    a, b = F.floor(F.col(total) * val), F.floor(F.col(total) * val) + F.floor(F.col(total) * test)
+    return ranked.withColumn("split", F.when(F.col(rn) < a, "val").when(F.col(rn) < b, "test").otherwise("train")).drop(h, rn, total)
 
 
 def balance(docs: DataFrame, bucket: list[str], slack: float = 1.5, seed: int = 42) -> DataFrame:
@@ -138,15 +142,6 @@ def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float]) -> DataF
     return upto.agg(*[F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col("v"))).alias(name) for name, p in shares.items()])
 
 
-def numbered(rows: DataFrame, key: str, *ties: str) -> DataFrame:
-    """rows with `i`, their number from 0 in the order of a hex key: counts of its first four digits, then a window for each."""
-    heads = rows.withColumn("_head", F.substring(key, 1, 4))
-    counts = heads.groupBy("_head").agg(F.count("*").alias("_n"))
-    before = counts.select("_head", (F.sum("_n").over(W.orderBy("_head")) - F.col("_n")).alias("_before"))  # 65,536 rows at most
-    place = F.row_number().over(W.partitionBy("_head").orderBy(key, *ties))
-    return heads.join(before, "_head").withColumn("i", F.col("_before") + place - 1).drop("_head", "_before")
-
-
 def chunk_fill(docs: DataFrame, target: int = 200_000, most: int = 2000, seed: int = 42, block: int = 50_000) -> DataFrame:
     """(doc_id, chunk_index): sequential fill in seeded order; a chunk ends before it would pass target or has `most`.
 
@@ -161,7 +156,7 @@ def chunk_fill(docs: DataFrame, target: int = 200_000, most: int = 2000, seed: i
     """
     block = max(block, most)
     order = docs.select("doc_id", X.approx_tokens(F.coalesce("text", F.lit(""))).alias("tokens"), X.stable_rank(F.col("doc_id"), seed).alias("h"))
-    rows = materialize(numbered(order, "h", "doc_id").select("i", "doc_id", F.col("tokens").cast("long").alias("tokens")), "numbered")
+    rows = materialize(global_rank(order, "h", "i").select("i", "doc_id", F.col("tokens").cast("long").alias("tokens")), "numbered")
     own = F.floor(F.col("i") / block).cast("long")
     margin = rows.where((own > 0) & (F.col("i") % block < most)).select((own - 1).alias("b"), "i", "tokens")
     wide = rows.select(own.alias("b"), "i", "tokens").union(margin)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
+from millrace.operators import similarity
+from millrace.runtime import materialize
 
 # Fixed values.
 KINDS = {
@@ -160,3 +162,23 @@ def admit(duplicate: Column, importance_: Column, correction: Column, filler: Co
         .when(importance_ >= bar * 0.66, "admitted_repeated_important")
         .otherwise("rejected_low_value")
     )
+
+
+def consolidate(memories: DataFrame, least: float = 0.8) -> DataFrame:
+    """(id, uses) of the memories (id, importance, uses, toks) that stay, with the uses of those that go.
+
+    By falling importance, equal ones by id, a memory goes if it is near (token
+    Jaccard of `least`) one that stays; its uses go to the first such one. Memories
+    without tokens are near nothing. importance is at most 1 and counts to six
+    digits, a null one as 0; ids are unique, not null and below 2^31 in size.
+    """
+    rank = F.round((1 - F.coalesce("importance", F.lit(0.0))) * 1_000_000).cast("long")
+    place = F.shiftleft(rank, 32) + F.col("id") + F.lit(1 << 31)  # a number that orders as importance and id do
+    ranked = materialize(memories.select("id", F.coalesce("uses", F.lit(0)).alias("uses"), "toks", place.alias("p")), "memories")
+    grams = ranked.where(F.size("toks") > 0).select(F.col("p").alias("a"), F.array_sort("toks").alias("grams"))
+    edges = materialize(similarity.gram_pairs(grams, least).select("a", "b"), "memory-edges")
+    kept = similarity.keep_first_near(ranked.select(F.col("p").alias("doc_id")), edges, materialize).select(F.col("doc_id").alias("a"))
+    heads = edges.join(kept, "a").groupBy(F.col("b").alias("p")).agg(F.min("a").alias("head"))
+    heads = heads.join(kept.withColumnRenamed("a", "p"), "p", "left_anti")
+    by = ranked.join(heads, "p", "left").select(F.coalesce("head", "p").alias("p"), "uses").groupBy("p").agg(F.sum("uses").cast("int").alias("uses"))
+    return by.join(ranked.select("p", "id"), "p").select("id", "uses")

@@ -36,15 +36,15 @@ def work_order() -> list:
 def plan_turns(messages: DataFrame, goals: DataFrame) -> DataFrame:
     """(m, selected, reason, confidence) of messages (m, message): the goal named by id, else by the longest title, else the first that isn't blocked.
 
-    A message meets the goals of which it holds the id or title, and the one first goal; goals are a session's, and few.
+    Both have an `owner`: a message meets its owner's goals of which it holds the id or title, and the owner's first goal.
     """
-    g = with_blocks(goals).select("goal_id", "title", "status", "rank", "priority", "created_at", "block")
+    g = with_blocks(goals).select("owner", "goal_id", "title", "status", "rank", "priority", "created_at", "block")
     order = F.struct("rank", (-F.col("priority")).alias("p"), "created_at", "goal_id")
-    named = messages.join(F.broadcast(g), F.contains(F.lower("message"), F.lower("goal_id"))).select("m", F.lit(0).alias("how"), F.lit(0).alias("size"), order.alias("o"), "status", "block")
+    named = messages.join(g, "owner").where(F.contains(F.lower("message"), F.lower("goal_id"))).select("m", F.lit(0).alias("how"), F.lit(0).alias("size"), order.alias("o"), "status", "block")
     title = normal_title(F.col("title"))
-    titled = messages.join(F.broadcast(g), (title != "") & F.contains(normal_title(F.col("message")), title)).select("m", F.lit(1).alias("how"), (-F.length(title)).alias("size"), order.alias("o"), "status", "block")
-    first = g.where("block is null").select(F.struct(order.alias("o"), "status", "block").alias("f")).agg(F.min("f").alias("f"))
-    auto = messages.join(F.broadcast(first)).where("f is not null").select("m", F.lit(2).alias("how"), F.lit(0).alias("size"), F.col("f.o").alias("o"), F.col("f.status").alias("status"), F.col("f.block").alias("block"))
+    titled = messages.join(g, "owner").where((title != "") & F.contains(normal_title(F.col("message")), title)).select("m", F.lit(1).alias("how"), (-F.length(title)).alias("size"), order.alias("o"), "status", "block")
+    first = g.where("block is null").groupBy("owner").agg(F.min(F.struct(order.alias("o"), "status", "block")).alias("f"))
+    auto = messages.join(first, "owner").select("m", F.lit(2).alias("how"), F.lit(0).alias("size"), F.col("f.o").alias("o"), F.col("f.status").alias("status"), F.col("f.block").alias("block"))
     best = named.union(titled).union(auto).groupBy("m").agg(F.min(F.struct("how", "size", "o", "status", F.coalesce("block", F.lit("")).alias("block"))).alias("b"))
     how, status, free = F.col("b.how"), F.col("b.status"), F.col("b.block") == ""
     reason = F.when(how == 0, "explicit_goal_id_override").when(how == 1, "explicit_goal_title_override").when(how == 2, F.concat(F.lit("automatic_"), status, F.lit("_goal_selection"))).otherwise("no_eligible_goals")

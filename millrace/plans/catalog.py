@@ -259,10 +259,10 @@ def classify_counts(spark, sf):
     return docs(spark, sf).select(F.explode(X.class_labels(F.col("text"))).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS has_{k}" for k, p in PII.items()) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS has_{k}" for k, p in (PII | {"phone": X.PHONE}).items()) + f", {HAS_PII} OR regexp_matches(text, '{X.PHONE}') AS any FROM documents")
 def pii_flags(spark, sf):
     pats = {"email": X.EMAIL, "ssn": X.SSN, "card": X.CARD, "secret": X.SECRET, "sk": X.SK_KEY, "gh": X.GH_KEY}
-    return docs(spark, sf).select("doc_id", *[F.col("text").rlike(p).alias(f"has_{k}") for k, p in pats.items()])
+    return docs(spark, sf).select("doc_id", *[F.col("text").rlike(p).alias(f"has_{k}") for k, p in (pats | {"phone": X.PHONE}).items()], X.has_pii(F.col("text"), True).alias("any"))
 
 
 REDACT = "text"

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from millrace.functions import checks as K
 from millrace.functions import text as X
 from millrace.functions.cleaners import strip
-from millrace.operators import memory, similarity
+from millrace.operators import memory, merkle, similarity
 from millrace.plans.catalog import HAS_PII, N_WORDS, docs, query
 from millrace.plans.checking import sql_cases
 from millrace.plans.cleaning import SPACES, sql_words
@@ -52,15 +52,15 @@ NEAR = Rows(
         (1, "A", _BASE), (2, "B", _BASE.upper() + "  "), (3, "B", _BASE.replace("green", "brown")), (4, "C", "nothing of the kind stands here at all, only other words about trains"), (5, "A", "nothing of the kind stands here at all, only other words about trains"),
         (6, "A", _BASE), (7, "C", "abc"), (8, "B", "abc"), (9, "C", " "), (10, "C", _BASE[:90]),
     ),
-)
+).over("benchmark", "t.item_id", True, id="t.item_id * 100 + p.id", text="t.text || ' ' || p.text")
 
 
 @query(f"""WITH {NEAR.cte}, {_signature_sql('near')}, bands AS (SELECT id, source, k, sig[k * 4 + 1 : k * 4 + 4] AS key FROM sig, (SELECT unnest(range(32)) AS k)),
   pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.k = y.k AND x.key = y.key AND x.source < y.source),
   gone AS (SELECT DISTINCT b FROM pairs JOIN sig p ON a = p.id JOIN sig q ON b = q.id WHERE len(list_filter(list_zip(p.sig, q.sig), lambda z: z[1] = z[2])) / 128.0 >= 0.85) SELECT id, source, id NOT IN (SELECT b FROM gone) AS kept FROM sig""")
 def cross_source_dedup(spark, sf):
-    """Texts of later sources go that are near one of an earlier source: a written example."""
-    return similarity.cross_source_duplicates(NEAR.df(spark), materialize)
+    """Texts of later sources go that are near one of an earlier source: each benchmark text with ten endings in three sources."""
+    return similarity.cross_source_duplicates(NEAR.df(spark, sf), materialize)
 
 
 @query()
@@ -93,7 +93,7 @@ HISTORY = Rows(
     "history",
     "owner string, at int, text string, ts double",
     (("u", 0, "I prefer the dark editor theme", 100_000.0), ("u", 1, "The quarterly budget meeting is on Friday", 100_000.0), ("u", 2, "My dog sleeps on the sofa", 0.0)),
-)
+).over("customer", "t.c_custkey", True, owner="p.owner || t.c_custkey")
 CANDIDATES = Rows(
     "candidates",
     "id int, owner string, text string, kind string, hint double, now double",
@@ -103,17 +103,11 @@ CANDIDATES = Rows(
         (9, "v", "zzz qqq", "fact", 0.1, 1.0), (10, "v", "Important goal: always remember that the policy deadline must never be changed, note that the budget is fixed", "goal", 2.0, 1.0), (11, "u", "Important goal: I always prefer to remember that the policy deadline must change", "goal", 2.0, 150_000.0),
         (12, "u", "The team will travel to the coast and should pack warm clothes", "project", 1.5, 150_000.0), (13, "u", "a walk", "episodic", 0.0, 150_000.0),
     ),
-)
-EXPECTED = {
-    1: "rejected_empty", 2: "rejected_low_value", 3: "rejected_exact_duplicate", 4: "admitted_correction", 5: "admitted_preference_change", 6: "rejected_near_duplicate_recent", 7: "admitted_stale_duplicate", 8: "rejected_near_duplicate_recent", 9: "admitted_novel",
-    10: "admitted_high_importance", 11: "admitted_preference_change", 12: "admitted_repeated_important", 13: "rejected_low_value",
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {literal(r)})" for i, r in EXPECTED.items()) + ") t(id, reason)")
+).over("customer", "t.c_custkey", True, id="t.c_custkey * 100 + p.id", owner="p.owner || t.c_custkey")
+@query()
 def admission_policy(spark, sf):
-    """Candidates that meet every reason of the policy; SQL can't match blocks of texts, so it states the reasons."""
-    return memory.admissions(CANDIDATES.df(spark), HISTORY.df(spark)).select("id", "reason")
+    """What the policy says of candidate memories of every customer; SQL can't match blocks of texts."""
+    return memory.admissions(CANDIDATES.df(spark, sf), HISTORY.df(spark, sf)).select("id", "reason")
 
 
 # --- releases ---
@@ -185,7 +179,7 @@ MANIFESTS = Rows(
         (2, '{"release_id": "v2", "checksums": {"train": "sha256:abc"}, "sources": [], "split_ratios": [0.9, 0.05]}', "abd"),
         (3, '{}', "x"),
     ),
-)
+).over("documents", "t.doc_id", id="t.doc_id", actual="CASE WHEN t.doc_id % 5 = 0 THEN p.actual || t.doc_id ELSE p.actual END")
 NEEDED = ("release_id", "release_date", "released_by", "checksums", "sources", "split_ratios", "shuffle_seed")
 
 
@@ -197,32 +191,55 @@ def manifest_validation(spark, sf):
     ratios = F.aggregate(F.from_json(at("split_ratios"), "array<double>"), F.lit(0.0), lambda a, x: a + x)
     made = [*(F.when(at(f).isNull(), f"Missing required field: {f}") for f in NEEDED), F.when(F.abs(ratios - 1) > 0.01, "split_ratios"), F.when(F.replace(at("checksums.train"), F.lit("sha256:"), F.lit("")) != col("actual"), "Checksum mismatch")]
     errors = F.filter(F.array(*made), lambda x: x.isNotNull())
-    return MANIFESTS.df(spark).select("id", (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"))
+    return MANIFESTS.df(spark, sf).select("id", (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"))
+
 
+def _tree_sql(name: str, rows: str) -> str:
+    """CTEs {name}0 to {name}4 with a hash tree's levels over rows (part, doc_id, text)."""
+    parts = [f"{name}0 AS (SELECT part, doc_id AS node, string_agg(h, '' ORDER BY h) AS hash FROM (SELECT part, doc_id, sha256(coalesce(text, '')) AS h FROM ({rows})) GROUP BY 1, 2)"]
+    parts += [f"{name}{i + 1} AS (SELECT part, node // {merkle.FAN} AS node, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash FROM {name}{i} GROUP BY 1, 2)" for i in range(merkle.LEVELS)]
+    return ", ".join(parts)
 
-@query(f"""WITH {SPLIT_SQL}, h AS (SELECT source, sum(tokens)::BIGINT AS tokens, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS hash FROM sp WHERE lang IN ('en', 'de') GROUP BY source) SELECT source, tokens, hash FROM h""")
+
+@query(f"""WITH {SPLIT_SQL}, {_tree_sql("t", "SELECT coalesce(source, '') AS part, doc_id, text FROM sp WHERE lang IN ('en', 'de')")}, r AS (SELECT part, sha256(string_agg(hash, '' ORDER BY node)) AS hash FROM t{merkle.LEVELS} GROUP BY part)
+  SELECT r.part AS source, tokens, hash FROM r JOIN (SELECT coalesce(source, '') AS part, sum(tokens)::BIGINT AS tokens FROM sp WHERE lang IN ('en', 'de') GROUP BY 1) USING (part)""")
 def release_lock(spark, sf):
-    """The lock of a release: a checksum for each source over its documents' checksums, for the chosen languages.
+    """The lock of a release: the root of a hash tree over each source's documents, for the chosen languages."""
+    s = _splits(spark, sf).where(col("lang").isin("en", "de")).withColumn("part", F.coalesce("source", F.lit("")))
+    root = merkle.roots(merkle.tree(s.select("part", "doc_id", "text")))
+    return s.groupBy("part").agg(F.sum("tokens").alias("tokens")).join(root, "part").select(col("part").alias("source"), "tokens", "hash")
+
+
+@query("""SELECT part, doc_id, CASE WHEN h1 IS NULL THEN 'added' WHEN h2 IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT coalesce(source, '') AS part, doc_id, sha256(text) AS h1 FROM documents WHERE lang <> 'es') a
+  FULL JOIN (SELECT coalesce(source, '') AS part, doc_id, sha256(CASE WHEN n_chars % 7 = 0 THEN text || '.' ELSE text END) AS h2 FROM documents WHERE lang <> 'fr') b USING (part, doc_id) WHERE h1 IS DISTINCT FROM h2""")
+def release_differences(spark, sf):
+    """What differs between two releases, by their hash trees: one has other languages, and some texts are longer."""
+    d = docs(spark, sf).withColumn("part", F.coalesce("source", F.lit("")))
+    new = d.where("lang <> 'fr'").withColumn("text", F.when(col("n_chars") % 7 == 0, F.concat("text", F.lit("."))).otherwise(col("text")))
+    return merkle.differences(merkle.tree(d.where("lang <> 'es'").select("part", "doc_id", "text")), merkle.tree(new.select("part", "doc_id", "text")))
+
 
-    A source's checksums are folded in ranges of ids first, then the ranges' lists; a row holds one hash of 64 bytes a document.
-    """
-    s = _splits(spark, sf).where(col("lang").isin("en", "de"))
-    lists = s.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("l"))
-    return lists.select("source", "tokens", F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256).alias("hash"))
+@query("SELECT coalesce(source, '') AS part, doc_id, n_chars % 3 <> 0 AS ok FROM documents WHERE doc_id % 50 = 0")
+def release_proofs(spark, sf):
+    """Whether every fiftieth document is what the lock says, by proofs; some texts are changed first."""
+    d = docs(spark, sf).select(F.coalesce("source", F.lit("")).alias("part"), "doc_id", "text", "n_chars")
+    nodes = materialize(merkle.tree(d.select("part", "doc_id", "text")), "tree")
+    some = d.where("doc_id % 50 = 0").select("part", "doc_id", F.when(col("n_chars") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(col("text")).alias("text"))
+    return merkle.verify(merkle.proofs(nodes, some), some, merkle.roots(nodes))
 
 
 RUNS = Rows(
     "runs",
     "id int, locked boolean, checksum string, expected string, free_gb double, tokens long, target long, open_shards int, step int, last_step int",
     ((1, True, "a", "a", 50.0, 10, 100, 3, 5, 5), (2, False, "a", "b", 1.0, 10, 100, 0, 5, 7), (3, True, "a", "a", 20.0, 200, 100, 1, 0, 0)),
-)
+).over("supplier", "t.s_suppkey", id="t.s_suppkey", free_gb="p.free_gb - t.s_suppkey % 30", step="p.step + t.s_suppkey % 2")
 RESUME = (("release_locked", "locked"), ("checksum", "checksum = expected"), ("disk", "free_gb >= 10"), ("budget_left", "tokens < target"), ("shards_left", "open_shards > 0"), ("step_known", "step = last_step"))
 
 
 @query(f"WITH {RUNS.cte}, c AS ({' UNION ALL '.join(f"SELECT id, '{k}' AS name, {e} AS passed FROM runs" for k, e in RESUME)}) SELECT id, name, passed, bool_and(passed) OVER (PARTITION BY id) AS may_resume FROM c")
 def resume_checks(spark, sf):
     """Whether runs may resume: a row for each check."""
-    r = RUNS.df(spark)
+    r = RUNS.df(spark, sf)
     every = F.expr(" and ".join(f"({e})" for _, e in RESUME))
     return r.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.expr(e).alias("passed")) for k, e in RESUME])).alias("c"), every.alias("may_resume")).select("id", "c.*", "may_resume")
 
@@ -238,7 +255,7 @@ def stage_report(spark, sf):
 
 # --- inputs ---
 
-PATHS = Rows("paths", "id int, path string, exists boolean", ((1, "a.PDF", True), (2, "b.png", True), (3, "c.wav", True), (4, "hello there", False), (5, "d.xyz", True), (6, "e.py", True), (7, "f.docx", False)))
+PATHS = Rows("paths", "id int, path string, exists boolean", ((1, "a.PDF", True), (2, "b.png", True), (3, "c.wav", True), (4, "hello there", False), (5, "d.xyz", True), (6, "e.py", True), (7, "f.docx", False))).over("pages", "t.page_id", id="t.page_id", path="t.url || '/' || p.path")
 KINDS = {"document": (".pdf", ".docx", ".txt", ".md", ".csv", ".xlsx", ".xls", ".json", ".yaml", ".toml", ".log", ".py"), "image": (".png", ".jpg", ".jpeg", ".bmp", ".tiff", ".webp"), "voice": (".wav", ".mp3", ".m4a", ".ogg", ".flac")}
 
 
@@ -246,7 +263,7 @@ KINDS = {"document": (".pdf", ".docx", ".txt", ".md", ".csv", ".xlsx", ".xls", "
 def input_kinds(spark, sf):
     """What an input is, by its suffix if it is a file."""
     ext = F.lower(F.regexp_extract("path", "(\\.[^./]+)$", 1))
-    return PATHS.df(spark).select("id", K.cases([(col("exists") & ext.isin(*v), F.lit(k)) for k, v in KINDS.items()], F.lit("text")).alias("kind"))
+    return PATHS.df(spark, sf).select("id", K.cases([(col("exists") & ext.isin(*v), F.lit(k)) for k, v in KINDS.items()], F.lit("text")).alias("kind"))
 
 
 @query("SELECT page_id, contains(lower(url), 'the') AS by_name FROM pages WHERE contains(lower(url), 'the') OR contains(lower(html), 'the') ORDER BY page_id LIMIT 10")
@@ -267,7 +284,7 @@ def token_stream(spark, sf):
     return t.select("doc_id", F.size("ids").alias("n"), col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last"), total.cast("long").alias("total"))
 
 
-LINES = Rows("lines", "n int, line string", ((1, '{"instruction": "a", "response": "b"}'), (2, '{"instruction": "a"}'), (3, "not json"), (4, '{"instruction": "", "response": "c", "more": 1}')))
+LINES = Rows("lines", "n int, line string", ((1, '{"instruction": "a", "response": "b"}'), (2, '{"instruction": "a"}'), (3, "not json"), (4, '{"instruction": "", "response": "c", "more": 1}'))).over("documents", "t.doc_id", n="t.doc_id", line="replace(p.line, '\"a\"', '\"' || PLAIN(t.text) || '\"')")
 
 
 @query(f"WITH {LINES.cte} SELECT n, CASE WHEN NOT json_valid(line) THEN 'invalid JSON' WHEN line ->> '$.instruction' IS NULL OR line ->> '$.response' IS NULL THEN 'missing field' ELSE 'ok' END AS state FROM lines")
@@ -275,10 +292,10 @@ def instruction_lines(spark, sf):
     """Lines of an instruction file: fit, or why not, by line."""
     v = F.try_parse_json("line")
     has = lambda f: F.get_json_object("line", f"$.{f}").isNotNull()
-    return LINES.df(spark).select("n", F.when(v.isNull(), "invalid JSON").when(~has("instruction") | ~has("response"), "missing field").otherwise("ok").alias("state"))
+    return LINES.df(spark, sf).select("n", F.when(v.isNull(), "invalid JSON").when(~has("instruction") | ~has("response"), "missing field").otherwise("ok").alias("state"))
 
 
-SUMS = Rows("sums", "id int, expression string", ((1, "what is 2 + 3 * 4"), (2, "compute (7 - 2) ^ 2 / 5"), (3, "10 % 4 + 7 // 2"), (4, "-3 + 1"), (5, "1 / 0"), (6, "no numbers"), (7, "(sqrt(16) + abs(-2))"), (8, "2 + import os")))
+SUMS = Rows("sums", "id int, expression string", ((1, "what is @ + 3 * 4"), (2, "compute (7 - @) ^ 2 / 5"), (3, "10 % 4 + 7 // @"), (4, "-@ + 1"), (5, "@ / 0"), (6, "no numbers"), (7, "(sqrt(16) + abs(-@))"), (8, "@ + import os"))).over("customer", "t.c_custkey", id="t.c_custkey", which="p.id", k="t.c_custkey % 9 + 1", expression="replace(p.expression, '@', '' || (t.c_custkey % 9 + 1))")
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv, ast.USub: operator.neg, ast.UAdd: operator.pos}
 _FUNCTIONS = {f.__name__: f for f in (math.sqrt, math.log, math.sin, math.cos, math.tan, abs, round, math.floor, math.ceil, math.exp)}
 
@@ -312,17 +329,17 @@ def calculate(expression: pa.Array) -> pa.Array:
     return pa.array([None if e is None else evaluate(e) for e in expression.to_pylist()], pa.float64())
 
 
-@query(f"WITH {SUMS.cte} SELECT id, CASE id WHEN 1 THEN 2 + 3 * 4 WHEN 2 THEN (7 - 2) ** 2 / 5 WHEN 3 THEN 10 % 4 + 7 // 2 WHEN 4 THEN 3 + 1 WHEN 7 THEN sqrt(16) + abs(-2) END::DOUBLE AS value FROM sums")
+@query(f"WITH {SUMS.cte} SELECT id, CASE which WHEN 1 THEN k + 3 * 4 WHEN 2 THEN (7 - k) ** 2 / 5 WHEN 3 THEN 10 % 4 + 7 // k WHEN 4 THEN k + 1 WHEN 7 THEN sqrt(16) + abs(-k) END::DOUBLE AS value FROM sums")
 def arithmetic(spark, sf):
     """Arithmetic in messages; the search for it begins at a digit or a bracket, so a sign in front is left out."""
-    return SUMS.df(spark).select("id", calculate(col("expression")).alias("value"))
+    return SUMS.df(spark, sf).select("id", calculate(col("expression")).alias("value"))
 
 
-PARTS = Rows("parts", "id int, body string", ((1, "a b\nc"), (2, " padded "), (3, "")))
+PARTS = Rows("parts", "id int, body string", ((1, "a b\nc"), (2, " padded "), (3, ""))).over("conversations", "t.conv_id * 31 + t.turn", doc="t.conv_id", id="t.turn", body="CASE WHEN p.body = '' THEN p.body ELSE p.body || t.text || ' ' END")
 
 
-@query(f"WITH {PARTS.cte} SELECT count(*) AS n, string_agg(regexp_replace(body, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g'), '|' ORDER BY id) AS text FROM parts WHERE body <> ''")
+@query(f"WITH {PARTS.cte} SELECT doc, count(*) AS n, sha256(string_agg(regexp_replace(body, '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g'), '|' ORDER BY id)) AS text FROM parts WHERE body <> '' GROUP BY doc")
 def section_text(spark, sf):
-    """A document's sections as one text."""
-    p = PARTS.df(spark).where("body <> ''").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", strip(col("body")).alias("b")))).alias("l"))
-    return p.select("n", F.array_join(F.transform("l", lambda x: x["b"]), "|").alias("text"))
+    """A document's sections as one text; a conversation's turns stand for them."""
+    p = PARTS.df(spark, sf).where("body <> ''").groupBy("doc").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", strip(col("body")).alias("b")))).alias("l"))
+    return p.select("doc", "n", F.sha2(F.array_join(F.transform("l", lambda x: x["b"]), "|"), 256).alias("text"))

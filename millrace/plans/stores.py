@@ -27,39 +27,39 @@ GOALS = Rows(
         ("g1", "Ship the report", "active", 2, 10.0, None), ("g2", "Write the draft", "active", 5, 11.0, "g1"), ("g3", "Rest", "paused", 9, 1.0, None), ("g4", "Find sources", "active", 1, 2.0, "g3"), ("g5", "Old work", "completed", 0, 0.5, None),
         ("g6", "Follow up", "active", 7, 3.0, "g5"), ("g7", "Lost child", "active", 3, 4.0, "gone"), ("c1", "Circle one", "active", 8, 5.0, "c2"), ("c2", "Circle two", "paused", 8, 6.0, "c1"), ("c3", "Hangs on circle", "completed", 1, 7.0, "c1"), ("g8", "Report", "paused", 1, 8.0, None),
     ),
-)
-TURNS = Rows("turns", "m int, message string", ((1, "work on g2 please"), (2, "let us ship the report!"), (3, "just go on"), (4, "circle ONE now"), (5, "the report"), (6, "g3 or g6"), (7, "")))
+).over("supplier", "t.s_suppkey", True, goal_id="p.goal_id || '-' || t.s_suppkey", parent="p.parent || '-' || t.s_suppkey", owner="t.s_suppkey")
+TURNS = Rows("turns", "m int, message string", ((1, "work on g2 please"), (2, "let us ship the report!"), (3, "just go on"), (4, "circle ONE now"), (5, "the report"), (6, "g3 or g6"), (7, ""))).over("supplier", "t.s_suppkey", True, m="t.s_suppkey * 10 + p.m", message="replace(replace(replace(p.message, 'g2', 'g2' || '-' || t.s_suppkey), 'g3', 'g3' || '-' || t.s_suppkey), 'g6', 'g6' || '-' || t.s_suppkey)", owner="t.s_suppkey")
 GOALS_SQL = f"""{GOALS.cte}, walk(goal_id, here, path, hit) AS (SELECT goal_id, parent, [goal_id], false FROM goals UNION ALL SELECT w.goal_id, g.parent, list_append(w.path, w.here), list_contains(w.path, w.here) FROM walk w JOIN goals g ON w.here = g.goal_id WHERE NOT w.hit),
   cyc AS (SELECT goal_id, bool_or(hit) AS cyclic FROM walk GROUP BY goal_id),
   b AS (SELECT g.*, CASE WHEN cyclic THEN 'blocked_cycle' WHEN g.status <> 'active' OR g.parent IS NULL OR p.status = 'completed' THEN NULL WHEN p.status IS NULL THEN 'blocked_missing_parent' WHEN p.status = 'paused' THEN 'blocked_paused_parent' ELSE 'blocked_incomplete_parent' END AS block,
     CASE g.status WHEN 'active' THEN 0 WHEN 'paused' THEN 1 WHEN 'completed' THEN 2 ELSE 99 END AS rank FROM goals g JOIN cyc USING (goal_id) LEFT JOIN goals p ON g.parent = p.goal_id)"""
 
 
-@query(f"WITH RECURSIVE {GOALS_SQL} SELECT goal_id, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS title, block, row_number() OVER (ORDER BY rank, -priority, created_at, goal_id)::INTEGER AS place FROM b")
+@query(f"WITH RECURSIVE {GOALS_SQL} SELECT goal_id, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS title, block, row_number() OVER (PARTITION BY owner ORDER BY rank, -priority, created_at, goal_id)::INTEGER AS place FROM b")
 def goal_blocks(spark, sf):
-    """Which goals are blocked and why, in the order of work."""
-    rows = planning.with_blocks(GOALS.df(spark))
-    return rows.select("goal_id", planning.normal_title(col("title")).alias("title"), "block", F.row_number().over(W.orderBy(*planning.work_order())).alias("place"))
+    """Which goals are blocked and why, in their owner's order of work."""
+    rows = planning.with_blocks(GOALS.df(spark, sf))
+    return rows.select("goal_id", planning.normal_title(col("title")).alias("title"), "block", F.row_number().over(W.partitionBy("owner").orderBy(*planning.work_order())).alias("place"))
 
 
 @query(f"""WITH RECURSIVE {GOALS_SQL}, {TURNS.cte}, n AS (SELECT *, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS t FROM b), u AS (SELECT *, array_to_string(regexp_extract_all(lower(message), '[a-z0-9]+'), ' ') AS mt FROM turns),
-  o AS (SELECT m, 0 AS how, 0 AS size, n.* FROM u JOIN n ON contains(lower(message), lower(goal_id)) UNION ALL SELECT m, 1, -length(t), n.* FROM u JOIN n ON t <> '' AND contains(mt, t) UNION ALL SELECT m, 2, 0, n.* FROM u, (SELECT * FROM n WHERE block IS NULL ORDER BY rank, -priority, created_at, goal_id LIMIT 1) n),
+  o AS (SELECT m, 0 AS how, 0 AS size, n.* FROM u JOIN n ON u.owner = n.owner AND contains(lower(message), lower(goal_id)) UNION ALL SELECT m, 1, -length(t), n.* FROM u JOIN n ON u.owner = n.owner AND t <> '' AND contains(mt, t) UNION ALL SELECT m, 2, 0, n.* FROM u JOIN (SELECT * FROM n WHERE block IS NULL QUALIFY row_number() OVER (PARTITION BY owner ORDER BY rank, -priority, created_at, goal_id) = 1) n ON u.owner = n.owner),
   f AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY how, size, rank, -priority, created_at, goal_id) AS rn FROM o)
   SELECT m, goal_id AS selected, CASE how WHEN 0 THEN 'explicit_goal_id_override' WHEN 1 THEN 'explicit_goal_title_override' ELSE 'automatic_' || status || '_goal_selection' END AS reason, block AS blocked,
   CASE how WHEN 0 THEN CASE WHEN block IS NULL THEN 1.0 ELSE 0.65 END WHEN 1 THEN CASE WHEN block IS NULL THEN 0.95 ELSE 0.6 END ELSE CASE status WHEN 'active' THEN 0.9 WHEN 'paused' THEN 0.75 ELSE 0.6 END END::DOUBLE AS confidence FROM f WHERE rn = 1""")
 def goal_plans(spark, sf):
-    """The goal each message is about."""
-    return planning.plan_turns(TURNS.df(spark), GOALS.df(spark))
+    """The goal of its owner that each message is about."""
+    return planning.plan_turns(TURNS.df(spark, sf), GOALS.df(spark, sf))
 
 
-GOAL_LOG = Rows("goal_log", "ts int, goal string, event string, parent string", ((1, "a", "create", None), (2, "b", "create", None), (3, "a", "pause", None), (4, "a", "resume", None), (5, "c", "split", "b"), (6, "d", "split", "b"), (7, "c", "complete", None), (8, "a", "complete", None), (9, "e", "create", None), (10, "e", "pause", None)))
+GOAL_LOG = Rows("goal_log", "ts int, goal string, event string, parent string", ((1, "a", "create", None), (2, "b", "create", None), (3, "a", "pause", None), (4, "a", "resume", None), (5, "c", "split", "b"), (6, "d", "split", "b"), (7, "c", "complete", None), (8, "a", "complete", None), (9, "e", "create", None), (10, "e", "pause", None))).over("supplier", "t.s_suppkey", True, goal="p.goal || '-' || t.s_suppkey", parent="p.parent || '-' || t.s_suppkey")
 
 
 @query(f"""WITH {GOAL_LOG.cte}, e AS (SELECT ts, goal, CASE event WHEN 'pause' THEN 'paused' WHEN 'complete' THEN 'completed' ELSE 'active' END AS status FROM goal_log UNION ALL SELECT ts, parent, 'paused' FROM goal_log WHERE event = 'split')
   SELECT goal, arg_max(status, ts) AS status, count(*) AS changes FROM e GROUP BY goal""")
 def goal_states(spark, sf):
     """The state of each goal after its log; a split pauses the parent."""
-    log = GOAL_LOG.df(spark)
+    log = GOAL_LOG.df(spark, sf)
     own = log.select("ts", "goal", F.when(col("event") == "pause", "paused").when(col("event") == "complete", "completed").otherwise("active").alias("status"))
     split = log.where("event = 'split'").select("ts", col("parent").alias("goal"), F.lit("paused").alias("status"))
     return own.union(split).groupBy("goal").agg(F.max_by("status", "ts").alias("status"), F.count("*").alias("changes"))
@@ -144,13 +144,13 @@ def memory_links(spark, sf):
     return both.where(j >= 0.6).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
-LINKS = Rows("links", "a int, b int", ((1, 2), (2, 3), (3, 4), (1, 5), (5, 1), (6, 7), (4, 8)))
+LINKS = Rows("links", "a int, b int", ((1, 2), (2, 3), (3, 4), (1, 5), (5, 1), (6, 7), (4, 8))).over("customer", "t.c_custkey", True, a="t.c_custkey * 4 + p.a", b="t.c_custkey * 4 + p.b")
 
 
 @query(f"WITH {LINKS.cte}, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), h1 AS (SELECT a AS start, b AS id, 1 AS hop FROM e), h2 AS (SELECT DISTINCT start, e.b AS id, 2 AS hop FROM h1 JOIN e ON h1.id = e.a WHERE e.b <> start) SELECT start, id, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY start, id")
 def memory_chains(spark, sf):
     """Memories within two links of each, links holding both ways."""
-    one = LINKS.df(spark)
+    one = LINKS.df(spark, sf)
     e = one.union(one.select("b", "a")).distinct()
     h1 = e.select(col("a").alias("start"), col("b").alias("id"), F.lit(1).alias("hop"))
     h2 = h1.join(e, col("id") == col("a")).where("b <> start").select("start", col("b").alias("id"), F.lit(2).alias("hop"))
@@ -165,17 +165,15 @@ def memory_known(spark, sf):
     return m.join(F.broadcast(latest)).groupBy("id").agg(F.max(X.jaccard(col("toks"), col("lt")) >= 0.92).alias("known"))  # 200 rows
 
 
-@query("SELECT * FROM (VALUES (1, 4), (3, 8), (5, 4)) t(id, uses)")
+OWNED = REMEMBERED.over("supplier", "t.s_suppkey", True, id="-(t.s_suppkey * 10 + p.id)", text="p.text || ' owner' || t.s_suppkey || ' key' || t.s_suppkey")
+
+
+@query()
 def memory_consolidation(spark, sf):
-    """Memories by falling importance: one that is near an earlier kept one (Jaccard 0.8) goes, and its uses are added; SQL states the result."""
-    place = F.shiftleft(F.round((1 - col("importance")) * 1_000_000).cast("long"), 32) + col("id")  # a number that orders as importance and id do
-    ranked = materialize(REMEMBERED.df(spark).withColumns({"toks": memory.content_tokens(col("text")), "p": place}), "memories")
-    edges = materialize(similarity.gram_pairs(ranked.select(col("p").alias("a"), F.array_sort("toks").alias("grams")), 0.8).select("a", "b"), "memory-edges")
-    kept = similarity.keep_first_near(ranked.select(col("p").alias("doc_id")), edges, materialize).select(col("doc_id").alias("a"))
-    heads = edges.join(kept, "a").groupBy(col("b").alias("p")).agg(F.min("a").alias("head"))
-    heads = heads.join(kept.withColumnRenamed("a", "p"), "p", "left_anti")
-    by = ranked.join(heads, "p", "left").select(F.coalesce("head", "p").alias("p"), "uses").groupBy("p").agg(F.sum("uses").cast("int").alias("uses"))
-    return by.join(ranked.select("p", "id"), "p").select("id", "uses")
+    """Turns and suppliers' notes as memories: those near a more important one (Jaccard 0.8) go, and their uses are added to it."""
+    m = _memories(spark, sf).select("id", "importance", (col("id") % 7 + 1).cast("int").alias("uses"), "toks")
+    written = OWNED.df(spark, sf).select(col("id").cast("long").alias("id"), "importance", "uses", memory.content_tokens(col("text")).alias("toks"))
+    return memory.consolidate(m.union(written))
 
 
 _BLANK = r"[ \t\n\r\f\x0B]"
@@ -268,7 +266,7 @@ FACTS = Rows(
         (1, "The Rhine is a long river, Basel is located in Switzerland. Engines use diesel fuel"), (2, "Smoking causes serious illness. Smoking causes serious illness."), (3, "Anna works at Northern Mills. Anna created the atlas"), (4, "Wheat depends on rain, Clouds produce rain, Rain precedes Harvest"),
         (5, "Felix is named Whiskers. A cat is an instance of Animal"), (6, "Latin means old speech. Bread contains yeast. Oil prevents rust"), (7, "nothing here"), (8, "French is derived from Latin. Steel enables tall towers. Facts contradict rumours"), (9, "Bern belongs to Switzerland and has many bears. Plum similar to Cherry"),
     ),
-)
+).over("conversations", "t.conv_id * 31 + t.turn", id="t.conv_id * 1000 + t.turn", text="p.text || '. ' || t.text")
 _CUT = lambda x: f"substr(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), 1, 60)"
 FOUND_SQL = f"""{FACTS.cte}, m AS ({' UNION ALL '.join(f"SELECT id, {k} AS pat, {literal(r)} AS relation, unnest(regexp_extract_all(text, {literal(p)}, 1)) AS s, unnest(regexp_extract_all(text, {literal(p)}, 2)) AS o, unnest(range(len(regexp_extract_all(text, {literal(p)})))) AS pos FROM facts" for k, (r, p) in enumerate(graph.TRIPLE_PATTERNS))}),
   c AS (SELECT id, pat, pos, relation, {_CUT('s')} AS subject, {_CUT('o')} AS object FROM m), f AS (SELECT *, row_number() OVER (PARTITION BY id, lower(subject), relation, lower(object) ORDER BY pat, pos) AS rn FROM c WHERE length(subject) > 2 AND length(object) > 2)"""
@@ -277,16 +275,16 @@ FOUND_SQL = f"""{FACTS.cte}, m AS ({' UNION ALL '.join(f"SELECT id, {k} AS pat,
 @query(f"WITH {FOUND_SQL} SELECT id, subject, relation, object FROM f WHERE rn = 1")
 def kg_extract(spark, sf):
     """Triples found in texts by twenty patterns."""
-    return graph.extract_triples(FACTS.df(spark))
+    return graph.extract_triples(FACTS.df(spark, sf))
 
 
 KNOWN = ("is", "has", "uses", "created", "works_at", "located_in", "part_of", "contains", "causes", "depends_on")
 
 
-@query(f"WITH {FOUND_SQL}, o AS (SELECT lower(subject) AS subject, relation, lower(object) AS object, count(*)::INTEGER AS n FROM f WHERE rn = 1 AND relation IN {KNOWN} GROUP BY 1, 2, 3) SELECT subject, relation, object, n AS mentions, CASE n WHEN 1 THEN 0.7 ELSE 0.805 END::DOUBLE AS confidence FROM o")
+@query(f"WITH RECURSIVE cf(n, confidence) AS (SELECT 1, 0.7::DOUBLE UNION ALL SELECT n + 1, round(least(1.0, confidence + (1 - confidence) * 0.7::DOUBLE * 0.5::DOUBLE), 4) FROM cf WHERE n < 200), {FOUND_SQL}, o AS (SELECT lower(subject) AS subject, relation, lower(object) AS object, count(*)::INTEGER AS n FROM f WHERE rn = 1 AND relation IN {KNOWN} GROUP BY 1, 2, 3) SELECT subject, relation, object, o.n AS mentions, confidence FROM o JOIN cf ON cf.n = least(o.n, 200)")
 def kg_ingest(spark, sf):
     """Found triples of known relations, put into the graph with a confidence of 0.7 each."""
-    t = graph.extract_triples(FACTS.df(spark)).where(col("relation").isin(*KNOWN))
+    t = graph.extract_triples(FACTS.df(spark, sf)).where(col("relation").isin(*KNOWN))
     seen = t.select(F.lower("subject").alias("subject"), "relation", F.lower("object").alias("object"), "id", F.lit(0.7).alias("confidence"))
     return graph.fold_confidence(seen, ["subject", "relation", "object"], ["id"]).select("subject", "relation", "object", "mentions", "confidence")
 
@@ -378,10 +376,10 @@ SYNONYMS = Rows("synonyms", "term string, syns array<string>", (("graph", ["netw
 @query(f"WITH {MESSAGES.cte}, {SYNONYMS.cte}, t AS (SELECT id, text, unnest(string_split(lower(text), ' ')) AS term, unnest(range(len(string_split(lower(text), ' ')))) AS pos FROM messages), x AS (SELECT id, array_to_string(flatten(list(syns[1:2] ORDER BY pos)), ' ') AS more FROM t JOIN synonyms USING (term) GROUP BY id) SELECT m.id, m.text || coalesce(' ' || more, '') AS text FROM messages m LEFT JOIN x USING (id)")
 def query_expansion(spark, sf):
     """Queries with up to two synonyms of each of their terms."""
-    t = MESSAGES.df(spark).select("id", F.posexplode(F.split(F.lower("text"), " ")).alias("at", "term"))
+    t = MESSAGES.df(spark, sf).select("id", F.posexplode(F.split(F.lower("text"), " ")).alias("at", "term"))
     more = t.join(F.broadcast(SYNONYMS.df(spark)), "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", F.slice("syns", 1, 2).alias("s")))).alias("x"))
     text = F.array_join(F.flatten(F.transform("x", lambda y: y["s"])), " ")
-    return MESSAGES.df(spark).join(more, "id", "left").select("id", F.concat("text", F.when(col("x").isNotNull(), F.concat(F.lit(" "), text)).otherwise("")).alias("text"))
+    return MESSAGES.df(spark, sf).join(more, "id", "left").select("id", F.concat("text", F.when(col("x").isNotNull(), F.concat(F.lit(" "), text)).otherwise("")).alias("text"))
 
 
 PASSAGES = Rows("passages", "pid int, body string", ((1, "teach me about graphs and latin"), (2, "list memories of the past"), (3, "the bug is fixed, no error"), (4, "compare python and java options"), (5, "why is it slow"), (6, "entropy of a system and how it works")))
@@ -393,7 +391,7 @@ def rerank_topk(spark, sf):
     """The three passages nearest to each query by token overlap."""
     from millrace.operators import retrieval
 
-    q = MESSAGES.df(spark).select("id", F.array_distinct(X.alnum_tokens(col("text"))).alias("q"))
+    q = MESSAGES.df(spark, sf).select("id", F.array_distinct(X.alnum_tokens(col("text"))).alias("q"))
     p = PASSAGES.df(spark).select("pid", F.array_distinct(X.alnum_tokens(col("body"))).alias("p"))
     score = F.round(F.size(F.array_intersect("q", "p")) / F.greatest(F.size(F.array_union("q", "p")), F.lit(1)), 4)
     scored = q.join(F.broadcast(p)).select("id", "pid", score.alias("score"))  # a query's candidates
@@ -406,23 +404,19 @@ COSINE = "list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / ((s
 @query(f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COSINE}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND q.label = v.label) WHERE score > 0.1) WHERE rank <= 5")
 def document_topk(spark, sf):
     """The five nearest vectors within the query's own document (its label) over 0.1."""
-    from millrace.functions import vectors as V
-    from millrace.operators import retrieval
+    from millrace.operators import vector_index
 
-    e = table(spark, sf, "embeddings").select("vec_id", "label", col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id % 50 = 0").select(col("vec_id").alias("query_id"), "label", col("v").alias("w"))
-    score = F.round(V.dot(col("w"), col("v")) / ((V.norm(col("w")) + 1e-9) * (V.norm(col("v")) + 1e-9)), 6)
-    scored = e.join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id", score.alias("score")).where("score > 0.1")
-    return retrieval.top(scored, ["query_id"], [F.desc("score"), col("vec_id")], 5)
+    e = table(spark, sf, "embeddings")
+    return vector_index.exact_top(e, e.where("vec_id % 50 = 0"), 5, within="label").where("score > 0.1")
 
 
 @query(f"SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COSINE}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id SEMI JOIN (SELECT label AS l FROM embeddings WHERE label IN (1, 3)) w ON v.label = w.l)) WHERE rank <= 5")
 def workspace_search(spark, sf):
     """The five nearest vectors of the workspace's documents (labels 1 and 3)."""
-    from millrace.operators import retrieval
+    from millrace.operators import vector_index
 
     e = table(spark, sf, "embeddings")
-    return retrieval.cosine_top(e.where("label in (1, 3)"), e.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "score")
+    return vector_index.exact_top(e.where("label in (1, 3)"), e.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "score")
 
 
 @query("WITH u AS (SELECT 0 AS leg, doc_id, text FROM documents WHERE source = 'src0' UNION ALL SELECT 1, doc_id, text FROM documents WHERE source <> 'src0'), r AS (SELECT *, row_number() OVER (PARTITION BY left(text, 80) ORDER BY leg, doc_id) AS rn FROM u) SELECT leg::INTEGER AS leg, doc_id FROM r WHERE rn = 1")
@@ -450,9 +444,9 @@ def evidence_union(spark, sf):
 def evidence_gap(spark, sf):
     """The terms of each question that no evidence holds."""
     have = PASSAGES.df(spark).select(F.explode(K.long_words(col("body"))).alias("t")).distinct()
-    asked = MESSAGES.df(spark).select("id", F.explode_outer(K.long_words(col("text"))).alias("t"))
+    asked = MESSAGES.df(spark, sf).select("id", F.explode_outer(K.long_words(col("text"))).alias("t"))
     missing = asked.join(have, "t", "left_anti").where("t is not null").groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("gap"))
-    return MESSAGES.df(spark).join(missing, "id", "left").select("id", F.coalesce("gap", F.lit("")).alias("gap"))
+    return MESSAGES.df(spark, sf).join(missing, "id", "left").select("id", F.coalesce("gap", F.lit("")).alias("gap"))
 
 
 @query("SELECT doc_id, substr(md5(source || ':' || doc_id || ':' || left(text, 40)), 1, 12) AS chunk_id FROM documents WHERE length(text) >= 40 AND text NOT IN (SELECT text FROM documents WHERE source = 'src0') AND source <> 'src0'")

@@ -10,7 +10,8 @@ import pytest
 from test_inverted import brute as bm25_brute
 
 from millrace.functions import text as X
-from millrace.operators import clusters, corpus, graph, hops
+from millrace.operators import clusters, corpus, graph, hops, memory, similarity
+from millrace.runtime import materialize
 
 
 def star_fold(triples, min_size):
@@ -192,3 +193,57 @@ def test_hop_search(spark, texts):
         assert [x[:2] for x in got[q]] == [x[:2] for x in want[q]], q
         assert np.allclose([x[2] for x in got[q]], [x[2] for x in want[q]], atol=2e-6)
     assert Counter(x[1] for v in want.values() for x in v)[2] > 0
+
+
+def consolidate_fold(rows, least):
+    kept, uses = [], {}
+    for i, importance, n, toks in sorted(rows, key=lambda r: (-round((r[1] or 0.0) * 1_000_000), r[0])):
+        near = [k for k, t in kept if toks and t and len(t & set(toks)) / len(t | set(toks)) >= least]
+        if near:
+            uses[near[0]] += n or 0
+        else:
+            kept.append((i, set(toks)))
+            uses[i] = n or 0
+    return uses
+
+
+def test_consolidate(spark):
+    r = random.Random(6)
+    base = [r.sample("abcdefghijklmnop", r.choice((5, 9, 10))) for _ in range(6)]
+    rows = []
+    for i in range(-30, 60):
+        toks = list(r.choice(base))
+        if r.random() < 0.5:
+            toks[r.randrange(len(toks))] = r.choice("qrst")
+        rows.append((i, r.choice((0.1, 0.5, 0.9, None)), r.choice((1, 3, None)), sorted(set(toks))))
+    rows += [(100, 0.9, 2, []), (101, 0.9, 2, [])]
+    df = spark.createDataFrame(rows, "id long, importance double, uses int, toks array<string>")
+    assert {x.id: x.uses for x in memory.consolidate(df).collect()} == consolidate_fold(rows, 0.8)
+
+
+def source_fold(rows, least=0.85):
+    """Every pair of texts of different sources by their signatures."""
+    flat = {i: " ".join((t or "").lower().split()) for i, _, t in rows}
+    slots = similarity.Slots()
+    sig = {i: slots.least(sorted({t[k : k + 5] for k in range(len(t) - 4)} or {t})) for i, t in flat.items() if t}
+    band = lambda a, b: any((a[k : k + 4] == b[k : k + 4]).all() for k in range(0, 128, 4))
+    by = {i: s or "" for i, s, _ in rows}
+    gone = {j for i in sig for j in sig if by[i] < by[j] and band(sig[i], sig[j]) and (sig[i] == sig[j]).mean() >= least}
+    return {i: i not in gone for i in sig}
+
+
+def test_cross_source_duplicates(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefg", k=5)) for _ in range(200)]
+    texts = [" ".join(r.choices(words, k=60)) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        t = r.choice(texts).split()
+        for _ in range(r.choice((0, 0, 1, 3, 12))):
+            t[r.randrange(60)] = r.choice(words)
+        rows.append((i, r.choice(("A", "B", "C", None)), " ".join(t)))
+    rows += [(200, "B", "abc"), (201, "C", " ABC "), (202, "A", " "), (203, "A", None)]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    got = {x.id: x.kept for x in similarity.cross_source_duplicates(df, materialize).collect()}
+    assert got == source_fold(rows)
+    assert 0 < sum(got.values()) < len(got)
