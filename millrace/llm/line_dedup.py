@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,6 +247,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 FILTERS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slots", T.IntegerType()), T.StructField("held", T.LongType()), T.StructField("filter", T.BinaryType())])
+DOCS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("delta", T.IntegerType()), T.StructField("shards", T.ArrayType(T.IntegerType()))])
 PROBED = "h1 long, h2 long, maybe boolean"
 
 
@@ -279,18 +280,21 @@ def _updated(delete: bool):
 class LineIndex:
     """A reversible index of line references in a folder: sharded cuckoo filters over an exact log.
 
-    `refs` holds (doc, h1, h2, delta), +1 for what an insertion adds and -1 for what a
-    deletion takes; the sum is the exact state, and its count by key the reference
-    count. `filters/vN` holds a cuckoo filter for each shard of keys, with one entry
-    for each distinct key that some document holds.
+    A version is what one call adds: `refs/vN`, (doc, h1, h2, delta) sorted by shard of
+    the key, +1 for what an insertion adds and -1 for what a deletion takes; `docs/vN`,
+    the documents concerned and the shards that hold their references; and
+    `filters/vN`, a cuckoo filter for each shard with one entry for each distinct key
+    that some document holds. The filters are written last, and a version counts once
+    they are complete: a call that was stopped left nothing that is read, and is
+    repeated as it was.
 
     insert probes the new documents' keys in the filters: a key that the filter
-    lacks is new for certain, and only those it may hold are looked up in the exact
-    counts. New keys are entered. delete takes out the keys whose count falls to
-    zero. So after an insertion and its deletion filters and counts are what they were.
-    Shards whose filter would fill over `LOAD` are built anew, twice as large, from
-    their exact keys. A version is complete before the log is appended; a call
-    that failed in between is repeated, and a filter with keys too many only costs look-ups.
+    lacks is new for certain, and only those it may hold are looked up, in the logs of
+    their shards. New keys are entered. delete reads the shards of its documents and
+    takes out the keys that no other document holds. So after an insertion and its
+    deletion filters and counts are what they were. Shards whose filter would fill over
+    `LOAD` are built anew, twice as large, from their exact keys. `compact` writes
+    the state as one log, which later calls start from.
 
     Documents that are held already, and null ids and texts, are not inserted.
     """
@@ -299,56 +303,83 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 16, capacity: int = SHARD_KEYS):
         self.spark, self.path, self.shards = spark, path, shards
-        self.schema = T.StructType([*REFS.fields, T.StructField("delta", T.IntegerType())])
+        refs = [*REFS.fields, T.StructField("delta", T.IntegerType()), T.StructField("shard", T.IntegerType())]
+        self.schemas = {"refs": T.StructType(refs), "docs": DOCS, "filters": FILTERS}
         if self.version() < 0:
-            spark.createDataFrame([], self.schema).write.mode("append").parquet(f"{path}/refs")
             empty = CuckooFilter(capacity)
-            spark.createDataFrame([(k, empty.n, 0, bytearray(empty.dump())) for k in range(shards)], FILTERS).write.parquet(f"{path}/filters/v0")
+            none = spark.createDataFrame([], T.StructType(refs[:4]))
+            self._write(none, spark.createDataFrame([(k, empty.n, 0, bytearray(empty.dump())) for k in range(shards)], FILTERS))
 
-    def version(self) -> int:
-        """The newest complete version of the filters; -1 if there is none."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/filters")
+    def _versions(self, what: str) -> list[int]:
+        """The complete versions of a folder, in order."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = hadoop(f"{self.path}/{what}")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return -1
-        names = [s.getPath() for s in fs.listStatus(root)]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return max((int(p.getName()[1:]) for p in names if fs.exists(done(p, "_SUCCESS"))), default=-1)
+        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(p.getName()[1:]) for p in found if fs.exists(hadoop(p, "_SUCCESS")))
+
+    def version(self) -> int:
+        """The newest complete version; -1 if there is none."""
+        return max(self._versions("filters"), default=-1)
+
+    def _live(self, what: str) -> list[str]:
+        """The folders of a log that make up the state: the newest whole one and what came after it."""
+        now = self.version()
+        whole = max((v for v in self._versions("whole") if v <= now), default=0)
+        return [f"{self.path}/{what}/v{v}" for v in range(whole, now + 1)]
+
+    def _log(self, what: str, shards: list[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.schemas[what]).parquet(*self._live(what))
+        return rows if shards is None else rows.where(F.col("shard").isin(shards))
 
     def filters(self) -> DataFrame:
         return self.spark.read.schema(FILTERS).parquet(f"{self.path}/filters/v{self.version()}")
 
-    def state(self) -> DataFrame:
-        """(doc, h1, h2) of what is held."""
-        log = self.spark.read.schema(self.schema).parquet(f"{self.path}/refs")
-        return log.groupBy("doc", "h1", "h2").agg(F.sum("delta").alias("n")).where("n > 0").select("doc", "h1", "h2")
+    def state(self, shards: list[int] | None = None) -> DataFrame:
+        """(doc, h1, h2) of what is held, in some shards or all."""
+        return self._log("refs", shards).groupBy("doc", "h1", "h2").agg(F.sum("delta").alias("n")).where("n > 0").select("doc", "h1", "h2")
+
+    def documents(self) -> DataFrame:
+        """(doc, shards) of the documents held."""
+        return self._log("docs").groupBy("doc").agg(F.sum("delta").alias("n"), F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards")).where("n > 0").select("doc", "shards")
 
     def counts(self) -> DataFrame:
         """The exact reference counts of what is held."""
         return reference_counts(self.state())
 
+    def _shard(self) -> Column:
+        return F.pmod("h2", F.lit(self.shards)).cast("int")
+
     def _sharded(self, keys: DataFrame) -> DataFrame:
-        return keys.select("h1", "h2", F.pmod("h2", F.lit(self.shards)).cast("int").alias("shard"))
+        return keys.select("h1", "h2", self._shard().alias("shard"))
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return [r[0] for r in keys.select(self._shard()).distinct().collect()]  # at most a row a shard
 
     def _with_filters(self, filters: DataFrame, keys: DataFrame, f, schema) -> DataFrame:
         return filters.groupBy("shard").cogroup(self._sharded(keys).groupBy("shard")).applyInArrow(f, schema)
 
-    def _write(self, filters: DataFrame) -> None:
-        filters.write.mode("overwrite").parquet(f"{self.path}/filters/v{self.version() + 1}")
-
-    def _append(self, refs: DataFrame, delta: int) -> None:
-        refs.select("doc", "h1", "h2", F.lit(delta).cast("int").alias("delta")).write.mode("append").parquet(f"{self.path}/refs")
+    def _write(self, refs: DataFrame, filters: DataFrame, whole: bool = False) -> None:
+        """The next version, of refs (doc, h1, h2, delta); its filters, which complete it, come last."""
+        n = self.version() + 1
+        sharded = refs.withColumn("shard", self._shard())
+        sharded.repartitionByRange("shard").sortWithinPartitions("shard").write.mode("overwrite").parquet(f"{self.path}/refs/v{n}")
+        docs = sharded.groupBy("doc").agg(F.max("delta").alias("delta"), F.array_sort(F.collect_set("shard")).alias("shards"))
+        docs.write.mode("overwrite").parquet(f"{self.path}/docs/v{n}")
+        if whole:
+            self.spark.createDataFrame([(n,)], "version int").write.mode("overwrite").parquet(f"{self.path}/whole/v{n}")
+        filters.write.mode("overwrite").parquet(f"{self.path}/filters/v{n}")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         bound_batches(self.spark)
-        held = self.state().select("doc").distinct()
-        new = materialize(references(docs, id_col, text_col).distinct().join(held, "doc", "left_anti"), "line-new")
+        new = references(docs, id_col, text_col).distinct().join(self.documents().select("doc"), "doc", "left_anti")
+        new = materialize(new, "line-new")
         probed = materialize(self._with_filters(self.filters(), new.select("h1", "h2").distinct(), _probe, PROBED), "line-probed")
-        known = probed.where("maybe").select("h1", "h2").join(self.counts(), ["h1", "h2"], "left_semi")
+        maybe = probed.where("maybe").select("h1", "h2")
+        known = maybe.join(self.state(self._touched(maybe)).select("h1", "h2"), ["h1", "h2"], "left_semi")
         fresh = materialize(probed.select("h1", "h2").join(known, ["h1", "h2"], "left_anti"), "line-fresh")
         filters, keys = self._roomy(fresh)
-        self._write(self._with_filters(filters, keys, _updated(False), FILTERS))
-        self._append(new, 1)
+        self._write(new.select("doc", "h1", "h2", F.lit(1).alias("delta")), self._with_filters(filters, keys, _updated(False), FILTERS))
 
     def _roomy(self, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The filters and the keys to enter; shards that would be too full begin anew with all their keys."""
@@ -361,18 +392,23 @@ class LineIndex:
         bare = [(r["shard"], (e := CuckooFilter(2 * r["n"])).n, 0, bytearray(e.dump())) for r in full]
         over = [r["shard"] for r in full]
         rest = filters.where(~F.col("shard").isin(over))
-        again = self._sharded(self.state().select("h1", "h2").distinct()).where(F.col("shard").isin(over)).select("h1", "h2")
+        again = self.state(over).select("h1", "h2").distinct()
         return rest.union(self.spark.createDataFrame(bare, FILTERS)), fresh.union(again).distinct()
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         bound_batches(self.spark)
-        state = self.state()
-        gone = materialize(state.join(ids.select(F.col(id_col).cast("long").alias("doc")).distinct(), "doc", "left_semi"), "line-gone")
-        keys = gone.select("h1", "h2").distinct()
-        left = state.join(gone.select("doc").distinct(), "doc", "left_anti").select("h1", "h2")
-        dead = materialize(keys.join(left, ["h1", "h2"], "left_anti"), "line-dead")
-        self._write(self._with_filters(self.filters(), dead, _updated(True), FILTERS))
-        self._append(gone, -1)
+        gone = ids.select(F.col(id_col).cast("long").alias("doc")).distinct().join(self.documents(), "doc")
+        gone = materialize(gone, "line-deleted")
+        shards = [r[0] for r in gone.select(F.explode("shards")).distinct().collect()]  # at most a row a shard
+        state = self.state(shards)
+        refs = materialize(state.join(gone.select("doc"), "doc", "left_semi"), "line-gone")
+        left = state.join(gone.select("doc"), "doc", "left_anti").select("h1", "h2")
+        dead = materialize(refs.select("h1", "h2").distinct().join(left, ["h1", "h2"], "left_anti"), "line-dead")
+        self._write(refs.select("doc", "h1", "h2", F.lit(-1).alias("delta")), self._with_filters(self.filters(), dead, _updated(True), FILTERS))
+
+    def compact(self) -> None:
+        """Write the state as one log; later calls read nothing before it."""
+        self._write(materialize(self.state(), "line-whole").withColumn("delta", F.lit(1)), materialize(self.filters(), "line-filters"), whole=True)
 
     def drops(self) -> DataFrame:
         """The references that go in the present state, as in the batch form."""

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from millrace.llm.line_dedup import CuckooFilter, LineIndex, line_dedup
 
@@ -101,6 +102,53 @@ def test_index_filters_follow_insertions_and_deletions(spark, frame, tmp_path):
     assert again.version() == 3 and sorted(r.doc for r in again.drops().collect()) == sorted(r.doc for r in index.drops().collect())
 
 
+def test_index_calls_that_stop_can_be_repeated(spark, frame, tmp_path, monkeypatch):
+    """Stopped between the log and the filters, a call has changed nothing; repeated, it gives what one call gives."""
+    rows = lambda ids: frame([(i, f"a line only of {i}, long\na line that all documents share\na line of third {i % 3} of them", "", "", 0, 0, "") for i in ids])
+    index, other = (LineIndex(spark, f"file://{tmp_path}/{n}", shards=3, capacity=8) for n in ("one", "two"))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    def stopped(call):
+        seen = index.version(), sorted(map(tuple, index.state().collect())), entries(index)
+        with monkeypatch.context() as m:
+            m.setattr(type(index.spark.range(1).write), "parquet", lambda self, path, *a, f=type(index.spark.range(1).write).parquet, **k: stop() if "/filters/" in path else f(self, path, *a, **k))
+            with pytest.raises(KeyboardInterrupt):
+                call()
+        assert (index.version(), sorted(map(tuple, index.state().collect())), entries(index)) == seen
+
+    steps = [lambda x: x.insert(rows(range(30))), lambda x: x.delete(rows(range(20)).select("doc_id")), lambda x: x.insert(rows(range(25, 40)))]
+    for step in steps:
+        stopped(lambda step=step: step(index))
+        step(index)
+        step(other)
+        assert sorted(map(tuple, index.state().collect())) == sorted(map(tuple, other.state().collect()))
+        held = {r.shard: r.held for r in index.filters().collect()}
+        assert sum(held.values()) == index.counts().count() == sum(map(len, entries(index).values()))
+
+
+def test_index_reads_little_of_a_large_log(spark, frame, tmp_path):
+    """An insertion of new keys reads no log of references, a deletion the shards of its documents; a compacted log is one."""
+    rows = lambda ids: frame([(i, f"a line only of {i}, long", "", "", 0, 0, "") for i in ids])
+    index = LineIndex(spark, f"file://{tmp_path}/index", shards=8, capacity=4000)
+    index.insert(rows(range(400)))
+    read = []
+    index._log = lambda what, shards=None, f=index._log: (read.append((what, shards)), f(what, shards))[1]
+    index.insert(rows(range(1000, 1010)))
+    assert [r for r in read if r[0] == "refs"] == [("refs", [])]
+    read.clear()
+    index.delete(rows([5]).select("doc_id"))
+    assert [len(r[1]) for r in read if r[0] == "refs"] == [1]
+    del index._log
+    want = sorted(map(tuple, index.state().collect())), {r.doc for r in index.documents().collect()}
+    index.compact()
+    assert len(index._live("refs")) == 1
+    assert (sorted(map(tuple, index.state().collect())), {r.doc for r in index.documents().collect()}) == want
+    index.insert(rows([5, 2000]))
+    assert index.documents().count() == len(want[1]) + 2 and len(index._live("refs")) == 2
+
+
 def test_names_that_clash(spark, frame):
     df = frame([(1, "a line that is long enough", "", "", 0, 0, ""), (2, "a line that is long enough", "", "", 0, 0, "")])
     for c in ("_gone", "_doc", "_kept", "_DOC_"):
