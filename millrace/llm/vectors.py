@@ -303,7 +303,11 @@ def _index(classes: DataFrame, total: int, cosine: float, overlap: int, shard: i
 
 
 def audit_recall(classes: DataFrame, links: DataFrame, total: int, cosine: float, sample: int = AUDIT) -> float:
-    """Links found over links there are, of a bounded sample of classes against all classes."""
+    """Links found over links there are, of a bounded sample of classes against all classes.
+
+    The lesser of two shares: over all links of the sample, and the mean over its
+    classes, so that neither a dense group hides small ones nor the other way round.
+    """
     spark = classes.sparkSession
     share = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * sample / max(1, total)) + 1
     some = classes.where(share).select("label", "rep", "vec").limit(2 * sample).toArrow().to_pylist()
@@ -326,8 +330,9 @@ def audit_recall(classes: DataFrame, links: DataFrame, total: int, cosine: float
 
     there = classes.select("label", "rep", "n", "vec").mapInArrow(exact, "a long, there long").groupBy("a").agg(F.sum("there").alias("there")).where("there > 0")
     got = links.where("b is null").groupBy("a").agg(F.sum("links").alias("got"))
-    s = there.join(got, "a", "left").agg(F.sum("there").alias("t"), F.sum(F.least("there", F.coalesce("got", F.lit(0)))).alias("g")).first()
-    return s["g"] / s["t"] if s["t"] else 1.0
+    each = there.join(got, "a", "left").select("there", F.least("there", F.coalesce("got", F.lit(0))).alias("got"))
+    s = each.agg(F.sum("there").alias("t"), F.sum("got").alias("g"), F.avg(F.col("got") / F.col("there")).alias("mean")).first()
+    return min(s["g"] / s["t"], s["mean"]) if s["t"] else 1.0
 
 
 def vector_groups(table: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, shard: int = SHARD, cap: int = CAP, target: float = TARGET, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
