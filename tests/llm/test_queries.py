@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import queries as q
 from millrace.llm.packing import WordEncoder
+from millrace.llm.secrets import ALLOW, scan_secrets
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -51,6 +52,50 @@ def test_secrets(spark, texts):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
 
 
+def slow_entropy(text):
+    """Entropy spans by the rules, each window's entropy summed anew."""
+    allowed = [re.compile(a) for a in ALLOW]
+    classes = [(re.compile("[0-9a-fA-F]+"), 24, 3.0), (re.compile("[0-9A-Za-z]+"), 20, 3.6), (re.compile("[0-9A-Za-z+/_=-]+"), 20, 3.7)]
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        run = m.group()
+        if len(run) < 20 or not re.search("[A-Za-z]", run) or any(a.fullmatch(run) for a in allowed):
+            continue
+        if re.search("[0-9]", run):
+            width, least = next(((w, e) for p, w, e in classes if len(run) >= w and p.fullmatch(run)), (None, None))
+        else:
+            width, least = (None, None) if run[1:].islower() or run.isupper() else (20, 4.1)
+        if width is None:
+            continue
+        hot = []
+        for i in range(len(run) - width + 1):
+            counts = Counter(run[i : i + width]).values()
+            if -sum(c / width * math.log2(c / width) for c in counts) >= least - 1e-9:
+                if hot and i <= hot[-1][1]:
+                    hot[-1][1] = i + width
+                else:
+                    hot.append([i, i + width])
+        out += [(m.start() + a, "entropy", m.start() + b) for a, b in hot]
+    return out
+
+
+def test_secret_spans(spark, texts):
+    kinds = {"assign": (r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1), "access": ("AKIA[A-Z0-9]+", 16, 0), "hex": ("[0-9a-f]+", 32, 0)}
+    order, rng = [*kinds, "entropy"], np.random.default_rng(5)
+    alphabets = ["0123456789abcdef", "ABCDEFabcdef0123", "abcdefghijklmnopqrstuvwxyz", "ABCxyzDEFuvw", "".join(map(chr, range(33, 127))), "aaaaaaaaaab1", "ab12/_+-="]
+    made = {-i - 1: " ".join("".join(rng.choice(list(a), rng.integers(1, 90))) for a in rng.choice(alphabets, 12)) for i in range(150)}
+    got = {r.doc_id: r.spans for r in q.op1_secrets(spark, SF).collect()}
+    scanned = scan_secrets(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    got |= {r.doc_id: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r.spans) for r in scanned}
+    n = 0
+    for d, t in (texts | made).items():
+        spans = [(m.start(), k, m.end()) for k, (p, least, g) in kinds.items() for m in re.finditer(p, t) if len(m.group(g)) >= least] + slow_entropy(t)
+        spans.sort(key=lambda s: (s[0], order.index(s[1])))
+        assert got[d] == ",".join(f"{k}:{a}:{b}" for a, k, b in spans), d
+        n += sum(s[1] == "entropy" for s in spans)
+    assert n > 100
+
+
 def test_packing(spark, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     pieces, used = {}, {}
