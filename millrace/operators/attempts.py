@@ -53,3 +53,23 @@ def cluster_claims(claims: DataFrame, least: float = 0.7) -> DataFrame:
     """
     rows = claims.where("q is not null and nth is not null").select(F.col("q").cast("long").alias("q"), F.col("nth").cast("long").alias("nth"), *FIELDS)
     return ClaimClusters(rows.asTable().partitionBy("q").orderBy("nth"), F.lit(least))
+
+
+#: A strategy and the kind of evidence it keeps alone where there is any; none: all kinds. Fixed values.
+STRATEGIES = {"baseline": None, "retrieval_focused": "chunk", "memory_focused": "memory", "knowledge_focused": "fact", "thin_evidence": None}
+
+
+def perturbed(evidence: DataFrame) -> DataFrame:
+    """evidence (q, kind, nth, ...) under each strategy, with `strategy`.
+
+    A focused strategy keeps its kind where the question has rows of it, else all;
+    thin evidence is the first row of each kind, nth being 1. Other columns stay.
+    """
+    kinds = [k for k in STRATEGIES.values() if k]
+    has = evidence.groupBy("q").agg(*[F.max(F.coalesce(F.col("kind") == k, F.lit(False))).alias(f"has_{k}") for k in kinds])
+    rows = evidence.join(has, "q").withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
+    keep = F.when(F.col("strategy") == "thin_evidence", F.col("nth") == 1)
+    for name, kind in STRATEGIES.items():
+        if kind:
+            keep = keep.when(F.col("strategy") == name, (F.col("kind") == kind) | ~F.col(f"has_{kind}"))
+    return rows.where(keep.otherwise(True)).drop(*[f"has_{k}" for k in kinds])

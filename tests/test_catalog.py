@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from millrace.plans import catalog, checking, cleaning, release, search, stores  # noqa: F401
+from millrace.plans import catalog, checking, cleaning, release, search, sources, stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
