@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.runtime import fresh, materialize
 
-from millrace.runtime import materialize
+_FOUR = Decimal("0.0001")
 
 
 def fold_confidence(observed: DataFrame, keys: list[str], order: list[str], value: str = "confidence", least: float = 0.5) -> DataFrame:
-    """Upsert fold: c <- round(min(1, c + (1 - c) x / 2), 4) over a triple's observations in order; x under `least` is refused."""
-    seen = observed.where(F.col(value) >= least).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x")))).alias("_o"))
-    first = F.element_at("_o", 1)["_x"]
-    folded = F.aggregate(F.slice("_o", 2, F.greatest(F.size("_o") - 1, F.lit(0))), first, lambda c, o: F.round(F.least(F.lit(1.0), c + (1 - c) * o["_x"] * 0.5), 4))
-    return seen.select(*keys, folded.alias("confidence"), F.size("_o").alias("mentions"))
+    """Upsert fold: c <- round(min(1, c + (1 - c) x / 2), 4) over a triple's observations in order; x under `least` is refused.
+
+    A task streams through its triples' sorted observations and holds one value, so
+    a triple of very many observations is no large row. Null keys are keys; a null x
+    is refused; observations that are equal in `order` count in any order.
+    """
+    n = len(keys)
+    rows = observed.where(F.col(value) >= least).select(*keys, *order, F.col(value).cast("double").alias(fresh("x", observed)))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, c, seen = None, 0.0, 0
+
+        def made(some: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k, _, _ in some], kinds[i]) for i in range(n)]
+            return pa.record_batch([*columns, pa.array([v for _, v, _ in some], pa.float64()), pa.array([m for _, _, m in some], pa.int32())], names=[*keys, "confidence", "mentions"])
+
+        for b in batches:
+            kinds, out = [f.type for f in b.schema][:n], []
+            for *key, x in zip(*[b.column(i).to_pylist() for i in range(n)], b.columns[-1].to_pylist(), strict=True):
+                if key != now:
+                    if seen:
+                        out.append((now, c, seen))
+                    now, c, seen = key, x, 1
+                else:
+                    c, seen = float(Decimal(repr(min(1.0, c + (1 - c) * x * 0.5))).quantize(_FOUR, ROUND_HALF_UP)), seen + 1
+            yield made(out)
+        if seen:
+            yield made([(now, c, seen)])
+
+    kind = T.StructType([*[observed.schema[k] for k in keys], T.StructField("confidence", T.DoubleType()), T.StructField("mentions", T.IntegerType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, kind)
 
 
 def contradictions(triples: DataFrame) -> DataFrame:
