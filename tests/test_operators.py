@@ -105,7 +105,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.csv").write_text("h1,h2\n1, \n")
     (tmp_path / "e.bin").write_text("no")
     got = {r.path.rpartition("/")[2]: r.text for r in files.read_texts(spark, f"file://{tmp_path}").collect()}
-    assert got == {"a.txt": "plain\ntext", "b.json": "one\ntwo", "c.jsonl": "p\nbad line", "d.csv": "h1 h2 1"}
+    assert got == {"a.txt": "plain\ntext", "b.json": "one\ntwo", "c.jsonl": "p\nbad line", "d.csv": "h1 h2\n1"}
     assert files.list_files(spark, f"file://{tmp_path}").count() == 4
 
 
