@@ -7,9 +7,11 @@ log-probabilities of all its windows, weighted by their bytes.
 
 For scoring, embedding and filters are folded into tables over byte pairs, so
 a convolution is a few table lookups. Training uses a bounded sample of
-`per_language` labelled rows of each language, chosen by a hash of the id.
+`per_language` labelled rows of each language, chosen by a hash of the id, and of
+a row at most `most_windows` windows, chosen at random; scoring covers all windows.
 
-Defined cases: text that is null or has no letter is `und` with score 0; null ids
+Defined cases: text that is null or has no letter is `und` with score 0; of
+languages that are equally likely the first by name is said; null ids
 are never learned from and are predicted; repeated ids are predicted row by
 row; without labelled rows everything is `und`; an empty table gives an empty
 result.
