@@ -43,6 +43,7 @@ from millrace.runtime import bound_batches, materialize
 COSINE, OVERLAP, SHARD, CAP, PIVOTS = 0.98, 3, 400, 4000, 20_000
 DEGREE, CANDIDATES, ALPHA, BEAM, STEPS = 16, 32, 1.2, 16, 24
 AUDIT, TARGET = 200, 0.97
+PART = 16384  # pairs looked at at once
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,39 +95,37 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return out
 
 
-def range_pairs(x: np.ndarray, adj: np.ndarray, cosine: float, block: int = 64) -> np.ndarray:
-    """Keys a * n + b (a < b) of pairs in range: beams from the medoid and the query, then expansion from hit to hit."""
+def range_pairs(x: np.ndarray, adj: np.ndarray, cosine: float, block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of pairs in range, a block of a at a time: beams from the medoid and the query, then expansion from hit to hit."""
     n = len(x)
     y = x.astype(np.float32)
-    medoid = int((y @ y.sum(0)).argmax())
-    near = np.concatenate([beam_search(y, adj, medoid, i) for i in range(0, n, 512)])
-    bar, found = cosine - 1e-4, []
+    medoid, bar = int((y @ y.sum(0)).argmax()), cosine - 1e-4
+    step = max(16, min(512, 32768 // max(1, adj.shape[1])))  # hubs make lists long
     for lo in range(0, n, block):
         q = np.arange(lo, min(lo + block, n))
-        seeds = np.concatenate([near[q], adj[q], q[:, None]], 1)
-        keys = np.unique((np.repeat(q, seeds.shape[1]) * n + seeds.ravel())[seeds.ravel() >= 0])
-        seen = np.zeros(len(q) * n, bool)
-        while len(keys):
-            seen[keys - lo * n] = True
-            a, b = keys // n, keys % n
-            keys = keys[np.einsum("nd,nd->n", y[a], y[b]) >= bar]
-            found.append(keys)
-            a, nxt = keys // n, adj[keys % n]
-            more = (a[:, None] * n + nxt)[nxt >= 0]
-            keys = np.unique(more[~seen[more - lo * n]])
-    keys = np.concatenate(found) if found else np.empty(0, np.int64)
-    a, b = keys // n, keys % n
-    return np.unique(np.minimum(a, b) * n + np.maximum(a, b))
-
-
-def all_pairs(x: np.ndarray, cosine: float, block: int = 256) -> np.ndarray:
-    """Keys a * n + b (a < b) of all pairs in range."""
-    n, y, found = len(x), x.astype(np.float32), [np.empty(0, np.int64)]
-    for lo in range(0, n, block):
+        near = np.concatenate([beam_search(y, adj, medoid, i, min(step, int(q[-1]) + 1 - i)) for i in range(lo, int(q[-1]) + 1, step)])
+        seeds = np.concatenate([near, adj[q], q[:, None]], 1)
+        new, seen = np.zeros(len(q) * n, bool), np.zeros(len(q) * n, bool)
+        new[((q - lo)[:, None] * n + seeds)[seeds >= 0]] = True
+        while new.any():
+            keys, seen = np.flatnonzero(new), seen | new
+            new[:] = False
+            for some in (keys[k : k + PART] for k in range(0, len(keys), PART)):
+                a, b = some // n, some % n
+                hit = np.einsum("nd,nd->n", y[lo + a], y[b]) >= bar
+                a, b = a[hit], b[hit]
+                yield lo + a, b
+                nxt = adj[b]
+                new[(a[:, None] * n + nxt)[nxt >= 0]] = True
+            new &= ~seen
+
+
+def all_pairs(x: np.ndarray, cosine: float, block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of all pairs in range, a block of a at a time."""
+    y = x.astype(np.float32)
+    for lo in range(0, len(x), block):
         a, b = np.nonzero(y[lo : lo + block] @ y.T >= cosine - 1e-4)
-        a = a + lo
-        found.append((a * n + b)[a < b])
-    return np.concatenate(found)
+        yield a + lo, b
 
 
 def beam_search(y: np.ndarray, adj: np.ndarray, medoid: int, lo: int, block: int = 512) -> np.ndarray:
@@ -156,22 +155,13 @@ def beam_search(y: np.ndarray, adj: np.ndarray, medoid: int, lo: int, block: int
     return ids
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(i), find(j)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((i, j))
-    return out
+def _join(root: np.ndarray, i: int, near: np.ndarray) -> Iterator[int]:
+    """Those of i's neighbours that bring it together with another tree of the forest; root names each row's tree."""
+    trees, first = np.unique(root[near], return_index=True)
+    for tree, j in zip(trees.tolist(), near[first].tolist(), strict=True):
+        if tree != root[i]:
+            root[root == tree] = root[i]
+            yield j
 
 
 def _local(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -191,51 +181,68 @@ def _build(t: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(rep, pa.int64()), "nbrs": lists})
 
 
+def _found(t: pa.Table, cosine: float, exact: bool) -> Iterator[pa.RecordBatch]:
+    """One shard's classes with united lists -> link counts (b null), forest edges, and lists of (neighbour, size) for what other tasks may find too (more).
+
+    A bit for each pair of the task's classes (at most two chunks) is all that is held of the pairs; the rest is done for a block of classes at a time.
+    """
+    rep, x = _local(t)
+    n = len(rep)
+    order = np.argsort(rep)
+    lists = t["nbrs"].combine_chunks()
+    own = np.repeat(np.arange(n), [0 if v is None else v for v in pc.list_value_length(lists).to_pylist()])
+    ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    p = np.minimum(np.searchsorted(rep[order], ids), n - 1)
+    here = rep[order[p]] == ids  # of the united lists, what is in this shard
+    own, ids = own[here], order[p[here]]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    adj = np.full((n, int(place.max(initial=0)) + 1), -1, dtype=np.int32)
+    adj[own, place] = ids
+    hits = np.zeros((n, n), bool)
+    for a, b in all_pairs(x, cosine) if exact else range_pairs(x, adj, cosine):
+        hits[a, b] = hits[b, a] = True
+    np.fill_diagonal(hits, False)
+    chunk, size = t["chunk"].to_numpy(), t["n"].to_numpy()
+    if (chunk != chunk[0]).any():  # pairs within a chunk are those of the task that has it alone
+        for c in np.unique(chunk):
+            hits[np.ix_(chunk == c, chunk == c)] = False
+    table = np.array([s + [-1] * (8 - len(s)) for s in t["shards"].to_pylist()], dtype=np.int64)
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    for lo in range(0, n, 64):
+        edges, heads, more = [], [], []
+        for i in range(lo, min(lo + 64, n)):
+            near = np.flatnonzero(hits[i])
+            near = near[np.einsum("d,nd->n", x[i], x[near]) >= cosine] if len(near) else near
+            if not len(near):
+                continue
+            edges += [(int(rep[i]), int(rep[j])) for j in _join(root, i, near[near > i])]
+            common = (((table[i][None, :, None] == table[near][:, None, :]) & (table[i] >= 0)[None, :, None]).sum((1, 2)))
+            links[i] = size[near[common == 1]].sum()  # no other task has both
+            shared = near[common > 1]
+            if len(shared):
+                heads.append(int(rep[i]))
+                more.append(np.stack([rep[shared], size[shared]], 1).astype(np.int64).tobytes())
+        yield _rows([*[i for i, _ in edges], *heads], [*[j for _, j in edges], *[None] * len(heads)], [0] * (len(edges) + len(heads)), [*[None] * len(edges), *more])
+    hit = np.flatnonzero(links)
+    yield _rows(rep[hit].tolist(), [None] * len(hit), links[hit].tolist(), [None] * len(hit))
+
+
+def _rows(a: list, b: list, links: list, more: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64()), pa.array(more, pa.binary())], names=["a", "b", "links", "more"])
+
+
 def _search(cosine: float, exact: bool = False):
     def search(t: pa.Table) -> pa.Table:
-        """One shard's classes with united lists -> link counts (b null), forest edges, and lists of (neighbour, size) for what other tasks may find too (more)."""
-        rep, x = _local(t)
-        n = len(rep)
-        order = np.argsort(rep)
-        lists = t["nbrs"].combine_chunks()
-        own = np.repeat(np.arange(n), [0 if v is None else v for v in pc.list_value_length(lists).to_pylist()])
-        ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-        p = np.minimum(np.searchsorted(rep[order], ids), n - 1)
-        here = rep[order[p]] == ids  # of the united lists, what is in this shard
-        own, ids = own[here], order[p[here]]
-        place = np.arange(len(own)) - np.searchsorted(own, own)
-        adj = np.full((n, int(place.max(initial=0)) + 1), -1, dtype=np.int64)
-        adj[own, place] = ids
-        keys = all_pairs(x, cosine) if exact else range_pairs(x, adj, cosine)
-        a, b = keys // n, keys % n
-        keep = a != b
-        a, b = a[keep], b[keep]
-        chunk, shards = t["chunk"].to_numpy(), t["shards"].to_pylist()
-        ok = np.concatenate([np.einsum("nd,nd->n", x[a[i : i + 65536]], x[b[i : i + 65536]]) >= cosine for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, bool)
-        a, b = a[ok], b[ok]
-        size = t["n"].to_numpy()
-        edges = _forest(a, b, n)
-        table = np.array([s + [-1] * (8 - len(s)) for s in shards], dtype=np.int64)
-        common = np.concatenate([((table[a[i : i + 65536], :, None] == table[b[i : i + 65536], None, :]) & (table[a[i : i + 65536], :, None] >= 0)).sum((1, 2)) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
-        alone = (common == 1) & ((chunk[a] != chunk[b]) | (t["chunks"][0].as_py() == 1))  # no other task has both
-        src, dst = np.concatenate([a[~alone], b[~alone]]), np.concatenate([b[~alone], a[~alone]])
-        order = np.argsort(src, kind="stable")
-        src, dst = src[order], dst[order]
-        ends = np.flatnonzero(np.diff(src, append=-1)) + 1
-        pairs = np.stack([rep[dst], size[dst]], 1).astype(np.int64)
-        more = [pairs[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(src) else []
-        heads = rep[src[ends - 1]] if len(src) else rep[:0]
-        a, b = a[alone], b[alone]
-        links = np.bincount(a, weights=size[b], minlength=n) + np.bincount(b, weights=size[a], minlength=n)
-        hit = np.flatnonzero(links)
-        return pa.table(
-            {
-                "a": pa.array([*rep[hit].tolist(), *[int(rep[i]) for i, _ in edges], *heads.tolist()], pa.int64()),
-                "b": pa.array([None] * len(hit) + [int(rep[j]) for _, j in edges] + [None] * len(more), pa.int64()),
-                "links": pa.array([int(v) for v in links[hit]] + [0] * (len(edges) + len(more)), pa.int64()),
-                "more": pa.array([None] * (len(hit) + len(edges)) + more, pa.binary()),
-            }
-        )
+        return pa.Table.from_batches(_found(t, cosine, exact))
+
+    return search
+
+
+def _searched(cosine: float, exact: bool):
+    """`_search` that hands on a block's rows when they are there."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _found(pa.Table.from_batches(list(batches)), cosine, exact)
 
     return search
 
@@ -263,11 +270,12 @@ def _assign(pivots: dict, overlap: int):
                 ids, p = pivots.value.get(key, (None, None))
                 if p is None or len(p) < 2:
                     continue
-                s = _unit([vecs[i] for i in rows]) @ p.T
                 k = min(overlap, len(p))
-                top = ids[np.argpartition(-s, k - 1, axis=1)[:, :k]]
-                for i, t in zip(rows, np.sort(top, 1).tolist(), strict=True):
-                    shards[i] = t
+                for some in (rows[i : i + 256] for i in range(0, len(rows), 256)):  # a label may have all pivots
+                    s = _unit([vecs[i] for i in some]) @ p.T
+                    top = ids[np.argpartition(-s, k - 1, axis=1)[:, :k]]
+                    for i, t in zip(some, np.sort(top, 1).tolist(), strict=True):
+                        shards[i] = t
             yield pa.record_batch([*b.columns, pa.array(shards, pa.list_(pa.int64()))], names=["label", "rep", "n", "vec", "shards"])
 
     return assign
@@ -297,7 +305,7 @@ def _index(classes: DataFrame, total: int, cosine: float, overlap: int, shard: i
         united = materialize(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "vec-graph")  # a list from each task the class is in
         ready = dealt.join(united, "rep", "left")
     ready = ready.select(*task, "rep", "n", "vec", "shards", "chunk", "chunks", "nbrs")
-    found = materialize(ready.groupBy(*task).applyInArrow(_search(cosine, exact), "a long, b long, links long, more binary"), "vec-found")
+    found = materialize(ready.groupBy(*task).applyInArrow(_searched(cosine, exact), "a long, b long, links long, more binary"), "vec-found")
     lists = found.where("more is not null").groupBy("a").agg(F.collect_list("more").alias("lists"))
     return materialize(found.where("more is null").drop("more").union(lists.mapInArrow(_unite, "a long, b long, links long")), "vec-links")
 
