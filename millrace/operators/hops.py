@@ -131,7 +131,7 @@ def text_leg(docs: DataFrame, k: int) -> Leg:
     texts = docs.select("id", "text")
 
     def leg(queries: DataFrame) -> DataFrame:
-        found = index.search(queries, k)
+        found = materialize(index.search(queries, k), "found")  # as its size is known, Catalyst needn't deal the texts
         return found.join(texts, found["doc_id"] == texts["id"]).select("query_id", "id", "score", "rank", "text")
 
     return leg
@@ -151,7 +151,7 @@ def hybrid_leg(docs: DataFrame, k: int, pool: int = 24) -> Leg:
         away = asked.withColumn("vec_id", -F.col("vec_id") - 1)
         dense = vector_index.exact_top(vectors, away, pool).withColumn("query_id", -F.col("query_id") - 1).drop("rank")
         sparse = index.search(queries, pool).select("query_id", F.col("doc_id").alias("vec_id"), "score")
-        fused = retrieval.fuse(materialize(dense, "dense"), materialize(sparse, "sparse"), ["query_id", "vec_id"], k, pool=pool)
+        fused = materialize(retrieval.fuse(materialize(dense, "dense"), materialize(sparse, "sparse"), ["query_id", "vec_id"], k, pool=pool), "fused")
         return fused.join(texts, fused["vec_id"] == texts["id"]).select("query_id", "id", "score", "rank", "text")
 
     return leg
