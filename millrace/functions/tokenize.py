@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _slices(part: pa.Array, size: int = 1 << 18) -> Iterator[list]:
+    """Values of a batch, some at a time, about as many as hold `size` bytes: what tokenizers keep of a text is many times its size."""
+    step = max(1, size * len(part) // max(1, part.nbytes))
+    for i in range(0, len(part), step):
+        yield part.slice(i, step).to_pylist()
+
+
 def ids(text: Column, path: str) -> Column:
     """The ids of a text, in which the names of special tokens are ordinary text; null is empty. A task reads the tokenizer once."""
 
+    kind = pa.list_(pa.int32())
+
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
@@ -20,8 +29,8 @@ def ids(text: Column, path: str) -> Column:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         for part in parts:
-            found = tokenizer.encode_batch([t or "" for t in part.to_pylist()], add_special_tokens=False)
-            yield pa.array([f.ids for f in found], pa.list_(pa.int32()))
+            made = [pa.array([f.ids for f in tokenizer.encode_batch([t or "" for t in some], add_special_tokens=False)], kind) for some in _slices(part)]
+            yield pa.concat_arrays(made) if made else pa.array([], kind)
 
     return encode(text)
 
@@ -35,6 +44,7 @@ def decoded(ids: Column, path: str) -> Column:
 
         tokenizer = Tokenizer.from_file(path)
         for part in parts:
-            yield pa.array(tokenizer.decode_batch([i or [] for i in part.to_pylist()], skip_special_tokens=False), pa.string())
+            made = [pa.array(tokenizer.decode_batch([i or [] for i in some], skip_special_tokens=False), pa.string()) for some in _slices(part)]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     return decode(ids)
