@@ -135,13 +135,7 @@ def memory_links(spark, sf):
     """Pairs of memories with a token Jaccard of 0.6: candidates share one of the rarest tokens that such a pair must share."""
     written = REMEMBERED.df(spark).select((-col("id")).cast("long").alias("id"), memory.content_tokens(col("text")).alias("toks"))
     m = materialize(_memories(spark, sf).select("id", "toks").union(written).where(F.size("toks") > 0), "memories")
-    df = m.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ranked = m.select("id", F.size("toks").alias("n"), F.explode("toks").alias("t")).join(df, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
-    prefix = ranked.select("id", F.explode(F.slice("r", 1, (col("n") - F.ceil(col("n") * 0.6) + 1).cast("int"))).alias("x")).select("id", "x.t")
-    pairs = prefix.alias("p").join(prefix.alias("q"), (col("p.t") == col("q.t")) & (col("p.id") < col("q.id"))).select(col("p.id").alias("a"), col("q.id").alias("b")).distinct()
-    both = pairs.join(m.select(col("id").alias("a"), col("toks").alias("ta")), "a").join(m.select(col("id").alias("b"), col("toks").alias("tb")), "b")
-    j = X.jaccard(col("ta"), col("tb"))
-    return both.where(j >= 0.6).select("a", "b", F.round(j, 6).alias("jaccard"))
+    return similarity.gram_pairs(m.select(col("id").alias("a"), col("toks").alias("grams")), 0.6).withColumn("jaccard", F.round("jaccard", 6))
 
 
 LINKS = Rows("links", "a int, b int", ((1, 2), (2, 3), (3, 4), (1, 5), (5, 1), (6, 7), (4, 8))).over("customer", "t.c_custkey", True, a="t.c_custkey * 4 + p.a", b="t.c_custkey * 4 + p.b")
