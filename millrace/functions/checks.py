@@ -246,17 +246,25 @@ def gaps(text: Column) -> Column:
     return F.slice(F.transform(found, strip), 1, 5)
 
 
-def density(text: Column, vocabulary: str) -> Column:
-    n = F.size(X.words(text))
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), hits(text, VOCABULARIES[vocabulary]) / F.greatest(F.lit(1.0), n / 10)))
+def word_hits(text: Column, pattern: str) -> Column:
+    """`hits` of a pattern of whole words (?:a|b|..), in either case: only words that begin as one of its own does are tried."""
+    body = pattern.removeprefix("(?i)\\b(?:").removesuffix(")\\b")
+    heads = "".join(sorted({w[0].lower() for w in body.split("|")}))
+    return hits(text, f"(?i)\\b(?=[{heads}])(?:{body})\\b")
 
 
-def relevance(text: Column, category: Column) -> Column:
-    """How well a text fits its category; 0.5 where that isn't known."""
+def densities(text: Column, n: Column) -> Column:
+    """Struct of each vocabulary's density in a text of n words, and `tagged`, whether a "<user>" is in it."""
+    each = {v: F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), word_hits(text, p) / F.greatest(F.lit(1.0), n / 10))) for v, p in VOCABULARIES.items()}
+    return F.struct(*[d.alias(v) for v, d in each.items()], text.contains("<user>").alias("tagged"))
+
+
+def relevance(found: Column, category: Column) -> Column:
+    """How well a text of these `densities` fits its category; 0.5 where that isn't known."""
     made = []
     for letter, (constant, shares, tagged) in RELEVANCE.items():
-        v = reduce(lambda a, kv: a + density(text, kv[0]) * kv[1], shares.items(), F.lit(constant))
-        made.append((category == letter, v + F.when(text.contains("<user>"), tagged).otherwise(0.0) if tagged else v))
+        v = reduce(lambda a, kv: a + found[kv[0]] * kv[1], shares.items(), F.lit(constant))
+        made.append((category == letter, v + F.when(found["tagged"], tagged).otherwise(0.0) if tagged else v))
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cases(made, F.lit(0.5)))), 4)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import checks as K
+from millrace.functions import text as X
 from millrace.operators import attempts
 from millrace.plans.catalog import query
 from millrace.plans.cleaning import sql_replaced, sql_strip, sql_words
@@ -158,8 +159,11 @@ _FIT = sql_cases([(f"category = '{c}'", " + ".join([f"{k}::DOUBLE", *(f"{_densit
 
 @query(f"WITH {PROSE.cte}, {LETTERS.cte} SELECT k, category, round(greatest(0.0, least(1.0, {_FIT}))::DOUBLE, 4) AS score FROM prose, letters")
 def category_scores(spark, sf):
-    """Each category's relevance of each text, by vocabulary densities."""
-    return PROSE.df(spark, sf).join(F.broadcast(LETTERS.df(spark))).select("k", "category", K.relevance(col("text"), col("category")).alias("score"))
+    """Each category's relevance of each text, by vocabulary densities, which are worked out once for a text."""
+    found = PROSE.df(spark, sf).withColumn("n", F.size(X.words(col("text")))).select("k", K.densities(col("text"), col("n")).alias("found"))
+    # A join with the categories would work out the densities again for each of them.
+    scores = F.array(*[F.struct(F.lit(c).alias("category"), K.relevance(col("found"), F.lit(c)).alias("score")) for (c,) in LETTERS.rows])
+    return found.select("k", F.explode_outer(scores).alias("s")).select("k", "s.category", "s.score")
 
 
 SOURCES = Rows(
