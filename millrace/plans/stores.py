@@ -155,8 +155,7 @@ def memory_chains(spark, sf):
 def memory_known(spark, sf):
     """Whether a text is near (Jaccard 0.92) one of the latest 200 memories."""
     m = _memories(spark, sf).select("id", "toks")
-    latest = m.orderBy(F.desc("id")).limit(200).select(col("toks").alias("lt"))
-    return m.join(F.broadcast(latest)).groupBy("id").agg(F.max(X.jaccard(col("toks"), col("lt")) >= 0.92).alias("known"))  # 200 rows
+    return memory.known_near(m, m.orderBy(F.desc("id")).limit(200).select("toks"), 0.92)
 
 
 OWNED = REMEMBERED.over("supplier", "t.s_suppkey", True, id="-(t.s_suppkey * 10 + p.id)", text="p.text || ' owner' || t.s_suppkey || ' key' || t.s_suppkey")
