@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import text as X
 from millrace.runtime import fresh, materialize
 
 _FOUR = Decimal("0.0001")
@@ -155,17 +156,35 @@ TRIPLE_PATTERNS = (
 )
 
 
+#: What must stand in a text for the pattern of a relation to match.
+_VERBS = {
+    "is": "is", "has": "has", "uses": "uses?", "created": "(?:created|made|built)", "works_at": "works?", "located_in": "(?:located|based)", "part_of": "(?:belongs|part)", "contains": "contains?", "means": "means?", "causes": "causes?",
+    "depends_on": "(?:depends|requires?)", "produces": "(?:produces?|generates?)", "contradicts": "contradicts?", "precedes": "(?:precedes?|comes?)", "similar_to": "similar", "instance_of": "instance", "derived_from": "derived", "enables": "enables?",
+    "inhibits": "(?:inhibits?|prevents?)", "named": "named",
+}
+
+
 def extract_triples(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows' other columns with subject, relation, object: a row for each match of a pattern, each triple of a row once."""
+    """rows' other columns with subject, relation, object: a row for each match of a pattern, each triple of a row once.
+
+    A pattern runs, once, over texts that hold its verb between white space; its two
+    groups are read from its matches, which match alike by themselves.
+    """
     cut = lambda c: F.substring(F.regexp_replace(c, "^\\s+|\\s+$", ""), 1, 60)
+    kind = "array<struct<subject:string,relation:string,object:string>>"
 
     def of(relation: str, pattern: str):
-        return F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2), lambda s, o: F.struct(cut(s).alias("subject"), F.lit(relation).alias("relation"), cut(o).alias("object")))
+        group = lambda m, n: cut(F.regexp_extract(m, pattern, n))
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(group(m, 1).alias("subject"), F.lit(relation).alias("relation"), group(m, 2).alias("object")))
+        return F.when(F.col(text).rlike(f"(?i)\\s{_VERBS[relation]}\\s"), found).otherwise(F.array().cast(kind))
 
     found = F.flatten(F.array(*[of(r, p) for r, p in TRIPLE_PATTERNS]))
     long = F.filter(found, lambda t: (F.length(t["subject"]) > 2) & (F.length(t["object"]) > 2))
     same = lambda t, u: (F.lower(t["subject"]) == F.lower(u["subject"])) & (t["relation"] == u["relation"]) & (F.lower(t["object"]) == F.lower(u["object"]))
     keep = [c for c in rows.columns if c != text]
     listed = rows.select(*keep, long.alias("_t"))
-    first = F.filter("_t", lambda t, i: ~F.exists(F.slice("_t", 1, i), lambda u: same(t, u)))
-    return listed.select(*keep, F.explode(first).alias("_t")).select(*keep, "_t.*")
+    first = lambda listed: F.filter(listed, lambda t, i: ~F.exists(F.slice(listed, 1, i), lambda u: same(t, u)))
+    # An inner explode would put a filter over its array below, where all is found again.
+    return listed.select(*keep, F.explode_outer(X.let(F.col("_t"), first)).alias("_t")).where("_t is not null").select(*keep, "_t.*")
+
+

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.functions import checks as K
-from millrace.operators import memory
+from millrace.operators import clusters, graph, memory
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,33 @@ def test_kind_is_found_once(spark):
     for name in ("memory_importance", "admission_decision"):
         plan = plan_of(spark, name)
         assert plan.count("favorite") == 1 and plan.count("birthdate") == 1, name
+
+
+def test_patterns_run_once(spark):
+    """Triples of odd texts as both groups' own extraction finds them; each pattern stands in the plan once."""
+    words = ["Rhine", "is", "part", "of", "a", "Basel", "created", "built", "named", "comes", "before", "has", "works", "at", "similar", "to", ".", ",", "contains", "Anna", "means", "an", "instance"]
+    texts = ["", "IS is IS", "A\tis\nb c d", *[" ".join(words[(i * k + k // 3) % len(words)] for k in range(1, 40)) for i in range(1, 40)], "Bern causes\u00a0rain", "Oil \u212ais K is ok"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    want = set()
+    for relation, p in graph.TRIPLE_PATTERNS:
+        for r in d.select("id", F.regexp_extract_all("text", F.lit(p), 1).alias("s"), F.regexp_extract_all("text", F.lit(p), 2).alias("o")).collect():
+            for s, o in zip(r.s, r.o, strict=True):
+                s, o = (x.strip(" \t\n\r\f\v")[:60] for x in (s, o))
+                if len(s) > 2 and len(o) > 2:
+                    want.add((r.id, s.lower(), relation, o.lower()))
+    found = graph.extract_triples(d)
+    got = [(x.id, x.subject.lower(), x.relation, x.object.lower()) for x in found.collect()]
+    assert sorted(got) == sorted(want) and len(got) > 40
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == len(graph.TRIPLE_PATTERNS)
+
+
+def test_likeness_is_worked_out_once(spark):
+    assert plan_of(spark, "admission_policy").count("likeness(") == 1
+
+
+def test_clusters_are_not_broadcast(spark):
+    rows = [(i, f"c{i}", "in", f"n{i % 3}", 1.0) for i in range(60)]
+    found = clusters.star_clusters(spark.createDataFrame(rows, "ord long, subject string, relation string, object string, confidence double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r["size"] for r in found.collect()) == [20] * 60
