@@ -26,11 +26,16 @@ FACT = ["relation", "other"]
 HUB = 50_000
 
 
+def _kept(rows: DataFrame, tag: str) -> DataFrame:
+    """What is written has few bytes for its rows, so it is joined by sort and merge: as a broadcast it would go through the driver."""
+    return materialize(rows, tag).hint("merge")
+
+
 def _facts(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(x, name) of entities, x the place of the first mention, and (x, relation, other), each once."""
     ends = triples.select((F.col("ord") * 2).alias("at"), F.col("subject").alias("name"), "relation", F.col("object").alias("far")).union(triples.select(F.col("ord") * 2 + 1, "object", "relation", "subject"))
     ends = ends.where("name is not null and far is not null and relation is not null")
-    names = materialize(ends.groupBy("name").agg(F.min("at").alias("x")), "names")
+    names = _kept(ends.groupBy("name").agg(F.min("at").alias("x")), "names")
     facts = ends.join(names, "name").select("x", "relation", "far").join(names.select(F.col("name").alias("far"), F.col("x").alias("other")), "far")
     return names.select("x", "name"), facts.select("x", *FACT).distinct()
 
@@ -63,7 +68,7 @@ def star_clusters(triples: DataFrame, min_size: int = 3, least: float = 0.5, max
     if min_size < 2:
         raise ValueError("a cluster has two members or more")
     names, facts = _facts(triples.where(F.col("confidence") >= least))
-    rows = materialize(_shared(facts.withColumn("open", F.lit(True))), "facts")
+    rows = _kept(_shared(facts.withColumn("open", F.lit(True))), "facts")
     made: list[DataFrame] = []
     for _ in range(max_rounds):
         if rows.isEmpty():
@@ -71,14 +76,14 @@ def star_clusters(triples: DataFrame, min_size: int = 3, least: float = 0.5, max
         salt = [*FACT, "s"]
         near = rows.join(_to_facts(rows.where("open"), "x"), salt).groupBy("x").agg(F.min("least").alias("near"))
         far = rows.join(_to_facts(rows.join(near, "x"), "near"), salt).groupBy("x").agg(F.min("least").alias("far"), F.first("open").alias("open"))
-        turns = materialize(far.where("open and far = x").select("x"), "turns")
+        turns = _kept(far.where("open and far = x").select("x"), "turns")
         held = _to_facts(rows.join(turns, "x"), "x").withColumnRenamed("least", "center")
-        members = materialize(rows.join(held, salt).select("center", "x").distinct(), "members")  # the centre is one of its facts' entities
+        members = _kept(rows.join(held, salt).select("center", "x").distinct(), "members")  # the centre is one of its facts' entities
         sizes = members.groupBy("center").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
-        cluster = materialize(members.join(sizes, "center"), "cluster")
+        cluster = _kept(members.join(sizes, "center"), "cluster")
         made.append(cluster)
         rest = rows.join(cluster.select("x"), "x", "left_anti").join(turns.withColumn("had", F.lit(True)), "x", "left")
-        rows = materialize(_shared(rest.select("x", *FACT, (F.col("open") & F.col("had").isNull()).alias("open"))), "facts")
+        rows = _kept(_shared(rest.select("x", *FACT, (F.col("open") & F.col("had").isNull()).alias("open"))), "facts")
     else:
         raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
     out = triples.sparkSession.createDataFrame([], "center long, x long, size long")

@@ -84,7 +84,7 @@ def _numbered(spark, sf):
 def entity_clusters(spark, sf):
     """Clusters of entities that share a fact, by the first named, with the clusters' relations."""
     t = materialize(_numbered(spark, sf), "triples")
-    found = materialize(clusters.star_clusters(t), "clusters")
+    found = materialize(clusters.star_clusters(t), "clusters").hint("merge")
     named = clusters.cluster_relations(t, found).select("center", F.array_join("relations", ",").alias("relations"))
     return found.join(named, "center")
 
