@@ -117,9 +117,9 @@ def admission_policy(spark, sf):
   SELECT source, raw, clean, dedup, approved, round(approved * 100.0 / raw, 1)::DOUBLE AS retention, floor(bytes / 3.8)::BIGINT AS tokens, least AS sha256 FROM k""")
 def source_manifests(spark, sf):
     """Each source's counts by stage, retention, tokens and a checksum."""
-    d = docs(spark, sf)
-    n = F.size(X.words(col("text")))
-    k = d.groupBy("source").agg(F.count("*").alias("raw"), F.count_if(F.length(F.trim("text")) > 0).alias("clean"), F.count_distinct(F.sha2("text", 256)).alias("dedup"), F.count_if(n >= 8).alias("approved"), F.sum(F.octet_length("text")).alias("bytes"), F.min(F.sha2("text", 256)).alias("sha256"))
+    # Copies are counted first, by hash, so that no text is sorted or sent.
+    texts = docs(spark, sf).groupBy("source", F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("raw"), F.count_if(F.length(F.trim("text")) > 0).alias("clean"), F.count_if(X.has_words(col("text"), 8)).alias("approved"), F.sum(F.octet_length("text")).alias("bytes"))
+    k = texts.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("raw", "clean", "approved", "bytes")], F.count("sha256").alias("dedup"), F.min("sha256").alias("sha256"))
     return k.select("source", "raw", "clean", "dedup", "approved", F.round(col("approved") * 100.0 / col("raw"), 1).alias("retention"), F.floor(col("bytes") / 3.8).cast("long").alias("tokens"), "sha256")
 
 

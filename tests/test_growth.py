@@ -1,9 +1,13 @@
 """What grows with the input: work done once for a row, and not again for each row or branch it meets."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.functions import checks as K
+from millrace.functions import text as X
 from millrace.operators import clusters, graph, memory
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +79,25 @@ def test_clusters_are_not_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted(r["size"] for r in found.collect()) == [20] * 60
+
+
+def test_manifests_sort_no_texts(spark):
+    """A smallest hash is no fixed-width buffer: in one aggregation with it whole texts would be sorted, as the hash's group."""
+    plan = entry.queries()["source_manifests"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Sort [" in line or "Exchange" in line]
+    assert moved and not any("text#" in line for line in moved)
+
+
+def test_manifests_of_odd_texts(spark, tmp_path):
+    texts = [None, "", "  ", "\t\n", "a b c d e f g", "a b c d e f g h", "a b c d e f g h", " a\tb\nc\rd\fe\x0bf  g h ", "a b c d e f g h", "é ü ß ö ä ñ ç 😀", "x" * 50_000 + " y" * 7, " " * 50_000]
+    rows = [(i, t, s) for i, (t, s) in enumerate((t, s) for s in ("one", None, "two") for t in (texts if s != "two" else [None]))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source: tuple(r)[1:] for r in entry.queries()["source_manifests"](spark, str(tmp_path)).collect()}
+    known = [t for t in texts if t is not None]
+    n_words = [len([w for w in re.split(r"[ \t\n\r\f\x0b]+", t) if w]) for t in known]
+    approved, hashes = sum(n >= 8 for n in n_words), {hashlib.sha256(t.encode()).hexdigest() for t in known}
+    want = (12, sum(t.strip(" ") != "" for t in known), len(hashes), approved, round(approved * 100 / 12, 1), int(sum(len(t.encode()) for t in known) / 3.8), min(hashes))
+    assert got["one"] == got[None] == want
+    assert got["two"] == (1, 0, 0, 0, 0.0, None, None)
+    words = spark.createDataFrame([(t,) for t in texts], "t string").select(*[F.coalesce(X.has_words(F.col("t"), n), F.lit(False)) == (F.size(X.words(F.col("t"))) >= n) for n in (1, 2, 7, 8, 9)])
+    assert all(all(r) for r in words.collect())
