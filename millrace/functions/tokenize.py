@@ -48,3 +48,25 @@ def decoded(ids: Column, path: str) -> Column:
             yield pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     return decode(ids)
+
+
+def stand_again(text: Column, **paths: str) -> Column:
+    """struct: for each tokenizer, by its name, whether a text's ids stand for it again. Ids are decoded where they are made; none are stored or handed on."""
+
+    @F.arrow_udf(T.StructType([T.StructField(name, T.BooleanType()) for name in paths]))
+    def same(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tokenizers import Tokenizer
+
+        tokenizers = [Tokenizer.from_file(path) for path in paths.values()]
+        for t in tokenizers:
+            t.encode_special_tokens = True
+        for part in parts:
+            found: list[list[bool]] = [[] for _ in tokenizers]
+            for some in _slices(part):
+                texts = [t or "" for t in some]
+                for tokenizer, out in zip(tokenizers, found, strict=True):
+                    made = [f.ids for f in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                    out += [a == b for a, b in zip(tokenizer.decode_batch(made, skip_special_tokens=False), texts, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(f, pa.bool_()) for f in found], names=list(paths))
+
+    return same.asNondeterministic()(text)  # else each field runs it again
